@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table keyed by long or short string is broadcast.
 BROADCAST_ROWS = 50_000
+#: And bytes, where its rows have no fixed size.
+BROADCAST_BYTES = 32 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -43,12 +45,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with small broadcast if it has at most so many rows, else by a shuffle that AQE may split.
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "left", rows: int = BROADCAST_ROWS, size=None) -> DataFrame:
+    """Join with small broadcast if it is within its bounds, else by a shuffle that AQE may split.
 
-    small should be a table that was cut, as its rows are counted here.
+    The bounds are so many rows and, where size gives the bytes of a row, BROADCAST_BYTES.
+    small should be a table that was cut, as it is read here to be measured.
     """
-    if small.limit(rows + 1).count() <= rows:
+    total = F.count(F.lit(1)), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0))
+    n, n_bytes = small.agg(total[0].alias("n"), total[1].alias("b")).first()
+    if n <= rows and n_bytes <= BROADCAST_BYTES:
         small = F.broadcast(small)
     return big.join(small, on, how)
 
@@ -71,6 +76,14 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def let(value, use) -> F.Column:
+    """use(value) with value evaluated once a row, also where use refers to it inside a lambda.
+
+    Spark puts an expression in place of each reference to it; a lambda's variable it does not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hashed(seed: int, *cols) -> F.Column:
     """A repeatable 64-bit hash of columns under a seed."""
     return F.xxhash64(F.lit(seed), *cols)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamarack.llm import mixing
+from tamarack.llm import decontamination, mixing, secrets
 from tamarack.llm._shared import WORD, documents
 
 
@@ -12,9 +13,33 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "weight")
 
 
-QUERIES = {"op5_mixing": op5_mixing}
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.contained(documents(spark, sf_dir), items)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "random")]
+    base, every = secrets.joined_spans(secrets.KINDS[:3]), secrets.joined_spans(secrets.KINDS)
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
+QUERIES = {"op10_secrets": op10_secrets, "op1_decontamination": op1_decontamination, "op5_mixing": op5_mixing}
 
 ORACLE_SQL = {
+    "op1_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+n AS (SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+s AS (SELECT DISTINCT item_id, k, unnest([array_to_string(w[j:j + k - 1], ' ') FOR j IN range(1, len(w) - k + 2)]) AS g FROM n),
+t AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY 1),
+g AS (SELECT DISTINCT doc_id, k, unnest([array_to_string(w[j:j + k - 1], ' ') FOR j IN range(1, greatest(len(w) - k + 2, 1))]) AS g
+      FROM d, (SELECT DISTINCT k FROM n))
+SELECT doc_id, item_id, n_item::INT AS n_item, count(*)::INT AS n_shared, count(*) / n_item AS containment
+FROM g JOIN s USING (k, g) JOIN t USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(0.8 * n_item - 1e-9)
+""",
     "op5_mixing": rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
