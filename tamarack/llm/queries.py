@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import decontamination, mixing, secrets
+from tamarack.llm import decontamination, mixing, secrets, simhash
 from tamarack.llm._shared import WORD, documents
 
 
@@ -25,7 +25,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
-QUERIES = {"op10_secrets": op10_secrets, "op1_decontamination": op1_decontamination, "op5_mixing": op5_mixing}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(documents(spark, sf_dir))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op10_secrets": op10_secrets, "op1_decontamination": op1_decontamination, "op5_mixing": op5_mixing}
 
 ORACLE_SQL = {
     "op1_decontamination": r"""
