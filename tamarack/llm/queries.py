@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import decontamination, fingerprints, langid, mixing, secrets, simhash, substrings, suffixes
+from tamarack.llm import decontamination, fingerprints, fixity, langid, licenses, mixing, secrets, simhash, substrings, suffixes
 from tamarack.llm._shared import WORD, documents
 
 
@@ -45,7 +45,25 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_fingerprints": op4_fingerprints, "op7_langid": op7_langid, "op2_substrings": op2_substrings, "op9_suffixes": op9_suffixes, "op3_simhash": op3_simhash, "op10_secrets": op10_secrets, "op1_decontamination": op1_decontamination, "op5_mixing": op5_mixing}
+def _damaged(pages: DataFrame) -> DataFrame:
+    """A replica of pages with damage: some records' first byte of html is another, some are marked as lost."""
+    place = F.crc32(F.col("page_id").cast("string").cast("binary"))
+    hit = (place % 97 == 5) & F.col("html").startswith("<")
+    html = F.when(hit, F.concat(F.lit("?"), F.col("html").substr(F.lit(2), F.length("html")))).otherwise(F.col("html"))
+    return pages.select("page_id", "url", html.alias("html"), F.coalesce(place % 101 == 7, F.lit(False)).alias("lost"))
+
+
+def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    replica = fixity.manifest(_damaged(pages), keep=("lost",)).where("NOT lost")
+    return fixity.audit(fixity.manifest(pages), replica)
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_paths(documents(spark, sf_dir)))
+
+
+QUERIES = {"op6_fixity": op6_fixity, "op8_licenses": op8_licenses, "op4_fingerprints": op4_fingerprints, "op7_langid": op7_langid, "op2_substrings": op2_substrings, "op9_suffixes": op9_suffixes, "op3_simhash": op3_simhash, "op10_secrets": op10_secrets, "op1_decontamination": op1_decontamination, "op5_mixing": op5_mixing}
 
 ORACLE_SQL = {
     "op1_decontamination": r"""
