@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tamarack.plans import table_queries
+
+QUERIES: dict = dict(table_queries.QUERIES)
+ORACLE_SQL: dict = dict(table_queries.ORACLE_SQL)
