@@ -139,3 +139,12 @@ def flatten(column: Column, kind: T.DataType) -> Column:
 
 def _joined(parts: list[Column]) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " ") if parts else F.lit("")
+
+
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """withColumns whose values are computed once a row.
+
+    Spark puts a projection's expressions in place of the names that the next one uses, and inside lambdas it
+    does so for each use; not so where an expression counts as one that may vary, as with the partition's number in it.
+    """
+    return df.withColumns({k: F.when(F.spark_partition_id() >= 0, v) for k, v in columns.items()})

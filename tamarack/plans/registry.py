@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tamarack.plans import table_queries
+from tamarack.plans import profile_queries, table_queries
 
-QUERIES: dict = dict(table_queries.QUERIES)
+QUERIES: dict = table_queries.QUERIES | profile_queries.QUERIES
 ORACLE_SQL: dict = dict(table_queries.ORACLE_SQL)
