@@ -7,7 +7,7 @@ bins, the least, as one byte (01 to ff; 00: none fell there): two fingerprints'
 bins with equal bytes among those that either fills, which estimates the Jaccard index of the sets.
 
 Defined results: an empty or null text has the fingerprint of zeros, like another such by 1 and any other
-text by 0; a text shorter than k bytes is one k-mer as a whole; an empty table gives an empty
+text by 0; a text without a closed syncmer, as one shorter than k bytes is, counts as one k-mer as a whole; an empty table gives an empty
 result; other columns are ignored. For neighbours() see there.
 """
 
@@ -85,11 +85,12 @@ def _chunk(group: list[bytes], sizes: np.ndarray, k: int, s: int) -> tuple[np.nd
         return np.zeros(len(hashes), np.int64), hashes
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     text, _, hashes = syncmers(np.frombuffer(b"".join(group), np.uint8), bounds, k, s)
-    short = np.nonzero((sizes > 0) & (sizes < k))[0]
-    if len(short):
-        whole = [int.from_bytes(hashlib.blake2b(group[i], digest_size=8).digest(), "little") for i in short.tolist()]
-        text, hashes = np.concatenate((text, short)), np.concatenate((hashes, np.array(whole, np.uint64)))
-    # A text may have no syncmer only if it is shorter than k: of its s-mers the least is at an edge of some k-mer.
+    lacking = sizes > 0
+    lacking[text] = False
+    if lacking.any():  # short texts, mostly
+        alone = np.nonzero(lacking)[0]
+        whole = [int.from_bytes(hashlib.blake2b(group[i], digest_size=8).digest(), "little") for i in alone.tolist()]
+        text, hashes = np.concatenate((text, alone)), np.concatenate((hashes, np.array(whole, np.uint64)))
     return text, hashes
 
 

@@ -91,17 +91,18 @@ def parse_table(symbols: bytes) -> np.ndarray:
     A symbol that the training text lacks is a phrase of its own; padding leads to the start, without a phrase.
     """
     goto = suffix_automaton(symbols)
-    if len(goto) >= _BREAK:
+    strange = len(goto)  # the state after a symbol that the training text lacks: whatever follows begins a phrase
+    if strange >= _BREAK:
         raise ValueError(f"{len(symbols)} symbols are too many for one automaton")
-    table = np.empty((len(goto), _WIDTH), np.uint16)
-    restart = np.full(_WIDTH, _BREAK, np.uint16)
+    table = np.empty((strange + 1, _WIDTH), np.uint16)
+    begin = np.full(_WIDTH, strange, np.uint16)
     for c, to in goto[0].items():
-        restart[c] = to | _BREAK
-    table[:] = restart
-    for state, edges in enumerate(goto):
-        if state:
-            for c, to in edges.items():
-                table[state, c] = to
+        begin[c] = to
+    table[0] = begin
+    table[1:] = begin | _BREAK
+    for state, edges in enumerate(goto[1:], 1):
+        for c, to in edges.items():
+            table[state, c] = to
     table[:, _PAD] = 0
     return table.reshape(-1)
 
