@@ -47,7 +47,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _damaged(pages: DataFrame) -> DataFrame:
     """A replica of pages with damage: some records' first byte of html is another, some are marked as lost."""
-    place = F.crc32(F.col("page_id").cast("string").cast("binary"))
+    place = F.pmod(F.col("page_id") * 7919, F.lit(9797))
     hit = (place % 97 == 5) & F.col("html").startswith("<")
     html = F.when(hit, F.concat(F.lit("?"), F.col("html").substr(F.lit(2), F.length("html")))).otherwise(F.col("html"))
     return pages.select("page_id", "url", html.alias("html"), F.coalesce(place % 101 == 7, F.lit(False)).alias("lost"))
@@ -65,7 +65,38 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op6_fixity": op6_fixity, "op8_licenses": op8_licenses, "op4_fingerprints": op4_fingerprints, "op7_langid": op7_langid, "op2_substrings": op2_substrings, "op9_suffixes": op9_suffixes, "op3_simhash": op3_simhash, "op10_secrets": op10_secrets, "op1_decontamination": op1_decontamination, "op5_mixing": op5_mixing}
 
+_REPEATS_SQL = """
+flagged AS (
+  SELECT s.doc_id, s.i, s.x, s.n, coalesce(max(h.hit) OVER (PARTITION BY s.doc_id ORDER BY s.i ROWS 49 PRECEDING), 0) AS gone
+  FROM symbols s LEFT JOIN (
+    SELECT w.doc_id, w.i, 1 AS hit FROM win w JOIN (SELECT key, min(doc_id) AS least FROM win GROUP BY key) f USING (key) WHERE w.doc_id > f.least) h
+  ON s.doc_id = h.doc_id AND s.i = h.i),
+edged AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS starts FROM flagged),
+told AS (
+  SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (starts) AS n_spans, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept
+  FROM edged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(d.n, 0)::BIGINT AS n_words, coalesce(t.n_removed, 0)::BIGINT AS n_removed, coalesce(t.n_spans, 0)::BIGINT AS n_spans,
+       sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM d LEFT JOIN told t USING (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op2_substrings": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n FROM documents),
+symbols AS (SELECT doc_id, n, unnest(ws) AS x, unnest(range(1, n + 1)) AS i FROM d),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS key FROM (SELECT doc_id, ws, unnest(range(1, greatest(n - 48, 1))) AS i FROM d)),
+"""
+    + _REPEATS_SQL,
+    "op6_fixity": r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, coalesce(url, '') AS u, (page_id * 7919) % 9797 AS place, floor(page_id / 1000)::BIGINT + 1 AS file FROM pages),
+s AS (
+  SELECT *, (strlen('WARC/1.1..WARC-Type: resource..WARC-Record-ID: <urn:page:') + strlen(page_id::VARCHAR) + strlen('>..WARC-Target-URI: ') + strlen(u)
+    + strlen('..Content-Type: text/html..Content-Length: ') + strlen(strlen(body)::VARCHAR) + 4 + strlen(body) + 4)::BIGINT AS length FROM p),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM s)
+SELECT file, "offset", length, page_id, CASE WHEN place % 101 = 7 THEN 'missing' ELSE 'corrupt' END AS status
+FROM o WHERE place % 101 = 7 OR (place % 97 = 5 AND starts_with(body, '<'))
+""",
     "op1_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
