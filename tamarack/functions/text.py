@@ -23,13 +23,28 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def quoted(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strings(values: Iterable[str]) -> Column:
+    """A literal array; one expression however long, where a literal each would be built call by call."""
+    listed = ", ".join(map(quoted, values))
+    return F.expr(f"array({listed})") if listed else F.expr("cast(array() AS array<string>)")
+
+
+_PAIRS = [(rf"(?i){_BEFORE}(?:{pattern}){_AFTER}", put) for pattern, put in (*lx.PHRASES, *lx.NUMBERS.items())]
+_ANY = rf"(?i){_BEFORE}(?:{'|'.join(p for p, _ in (*lx.PHRASES, *lx.NUMBERS.items()))}){_AFTER}"
+
+
 def phrases_and_numbers(text: Column) -> Column:
-    """Rewrite the romanised phrases and number words of the lexicon, whole words only, in any case."""
-    for pattern, put in lx.PHRASES:
-        text = F.regexp_replace(text, rf"(?i){_BEFORE}(?:{pattern}){_AFTER}", put)
-    for word, number in lx.NUMBERS.items():
-        text = F.regexp_replace(text, rf"(?i){_BEFORE}{word}{_AFTER}", number)
-    return text
+    """Rewrite the romanised phrases and number words of the lexicon, whole words only, in any case.
+
+    One pattern tells whether there is any; only then they are gone through.
+    """
+    pairs = F.expr("array(" + ", ".join(f"struct({quoted(p)} AS p, {quoted(r)} AS r)" for p, r in _PAIRS) + ")")
+    return F.when(text.rlike(_ANY), F.aggregate(pairs, text, lambda t, x: F.regexp_replace(t, x["p"], x["r"]))).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
@@ -74,27 +89,33 @@ def padded(cleaned: Column) -> Column:
 
 def has_any(padded_text: Column, terms: Iterable[str]) -> Column:
     """Whether any term stands between spaces."""
-    found = F.lit(False)
-    for term in terms:
-        if term:
-            found = found | F.contains(padded_text, F.lit(f" {term} "))
-    return found
+    return F.exists(strings(f" {t} " for t in terms if t), lambda t: F.contains(padded_text, t))
 
 
 def present(padded_text: Column, terms: Iterable[str]) -> Column:
     """The terms that stand between spaces, as listed."""
-    return F.array_compact(F.array(*[F.when(F.contains(padded_text, F.lit(f" {t} ")), F.lit(t)) for t in terms]))
+    return F.filter(strings(terms), lambda t: F.contains(padded_text, F.concat(F.lit(" "), t, F.lit(" "))))
 
 
 def named(padded_text: Column, groups: dict[str, Iterable[str]]) -> Column:
     """Names of the groups of which any term is present, as listed."""
-    return F.array_compact(F.array(*[F.when(has_any(padded_text, terms), F.lit(name)) for name, terms in groups.items()]))
+    listed = ", ".join(f"struct({quoted(n)} AS n, array({', '.join(quoted(f' {t} ') for t in terms if t)}) AS t)" for n, terms in groups.items())
+    hits = F.filter(F.expr(f"array({listed})"), lambda g: F.exists(g["t"], lambda t: F.contains(padded_text, t)))
+    return F.transform(hits, lambda g: g["n"])
 
 
 def phrase_count(padded_text: Column, term: str) -> Column:
     """How often a term stands between spaces; of neighbours that share a space every other counts."""
-    sought = f" {term} "
-    return ((F.length(padded_text) - F.length(F.replace(padded_text, F.lit(sought), F.lit("")))) / len(sought)).cast("int")
+    return phrase_counts(padded_text, [term])
+
+
+def phrase_counts(padded_text: Column, terms: Iterable[str]) -> Column:
+    """The sum of phrase_count over terms."""
+
+    def one(total: Column, term: Column) -> Column:
+        return total + ((F.length(padded_text) - F.length(F.replace(padded_text, term, F.lit("")))) / F.length(term)).cast("int")
+
+    return F.aggregate(strings(f" {t} " for t in terms), F.lit(0), one)
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:

@@ -112,9 +112,9 @@ def token_stats(spark, sf_dir):
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), longest.alias("longest"))
 
 
-@query(f"SELECT doc_id, {sql_squeeze('text')} AS cleaned FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(f"""SELECT doc_id, {sql_squeeze("coalesce(text, '')")} AS cleaned FROM documents""")
 def clean_text_basic(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", _squeezed().alias("cleaned"))
+    return table(spark, sf_dir, "documents").select("doc_id", _squeezed().alias("cleaned"))
 
 
 def _sql_rewritten(x: str) -> str:
@@ -134,13 +134,13 @@ _FLAT = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 
 
 @query(rf"""
-WITH s AS (SELECT doc_id, list_transform(list_filter(string_split(regexp_replace({_FLAT}, '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)),
-  lambda x: trim(x) <> ''), lambda x: trim(x, ' -;,.')) AS parts FROM documents WHERE NOT contains(text, '|')),
+WITH s AS (SELECT doc_id, list_transform(list_filter(string_split(regexp_replace(regexp_replace({_FLAT}, '([.!?;])\s+', '\1' || chr(1), 'g'), '\s+[|]\s+', chr(1), 'g'), chr(1)),
+  lambda x: trim(x) <> ''), lambda x: trim(x, ' -;,.')) AS parts FROM documents),
 m AS (SELECT doc_id, len(parts)::INT AS n_sentences, list_filter(parts, lambda x: contains(' ' || {sql_squeeze('x')} || ' ', ' of ')) AS hits FROM s)
 SELECT doc_id, n_sentences, len(hits)::INT AS n_hits, coalesce(array_to_string(list_transform(hits[1:3], lambda x: substr(x, 1, 240)), '#'), '') AS snippets FROM m""")
 def sentence_snippets(spark, sf_dir):
     """Sentences with a term in them, the first three of them cut to 240 characters."""
-    d = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("|"))).select("doc_id", tx.sentences(F.col("text")).alias("parts"))
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.sentences(F.col("text")).alias("parts"))
     hits = F.filter("parts", lambda s: F.contains(tx.padded(tx.squeeze(s)), F.lit(" of ")))
     d = d.select("doc_id", F.size("parts").alias("n_sentences"), hits.alias("hits"))
     shown = F.array_join(F.transform(F.slice("hits", 1, 3), lambda s: F.substring(s, 1, 240)), "#")
