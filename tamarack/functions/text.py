@@ -34,17 +34,30 @@ def strings(values: Iterable[str]) -> Column:
     return F.expr(f"array({listed})") if listed else F.expr("cast(array() AS array<string>)")
 
 
-_PAIRS = [(rf"(?i){_BEFORE}(?:{pattern}){_AFTER}", put) for pattern, put in (*lx.PHRASES, *lx.NUMBERS.items())]
-_ANY = rf"(?i){_BEFORE}(?:{'|'.join(p for p, _ in (*lx.PHRASES, *lx.NUMBERS.items()))}){_AFTER}"
+_PAIRS = [(pattern, put) for pattern, put in (*lx.PHRASES, *lx.NUMBERS.items())]
+
+
+def _pairs() -> Column:
+    """(words that a pattern may begin with, pattern, what it becomes)."""
+    each = []
+    for pattern, put in _PAIRS:
+        heads = ", ".join(quoted(alternative.split(r"\s")[0]) for alternative in pattern.split("|"))
+        each.append(f"struct(array({heads}) AS w, {quoted(rf'(?i){_BEFORE}(?:{pattern}){_AFTER}')} AS p, {quoted(put)} AS r)")
+    return F.expr(f"array({', '.join(each)})")
 
 
 def phrases_and_numbers(text: Column) -> Column:
     """Rewrite the romanised phrases and number words of the lexicon, whole words only, in any case.
 
-    One pattern tells whether there is any; only then they are gone through.
+    A text's words tell which patterns can match, mostly none; no replacement makes a word that another seeks.
     """
-    pairs = F.expr("array(" + ", ".join(f"struct({quoted(p)} AS p, {quoted(r)} AS r)" for p, r in _PAIRS) + ")")
-    return F.when(text.rlike(_ANY), F.aggregate(pairs, text, lambda t, x: F.regexp_replace(t, x["p"], x["r"]))).otherwise(text)
+    held = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
+
+    def rewritten(words: Column) -> Column:
+        useful = F.filter(_pairs(), lambda x: F.arrays_overlap(words, x["w"]))
+        return F.aggregate(useful, text, lambda t, x: F.regexp_replace(t, x["p"], x["r"]))
+
+    return let(held, rewritten)
 
 
 def squeeze(text: Column) -> Column:
