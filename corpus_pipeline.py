@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import decontamination, langid, mixing, secrets, simhash
+from tamarack.llm import decontamination, langid, mixing, neardup, secrets
 from tamarack.llm._shared import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,10 +28,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group, the one with the smallest doc_id.
 
-    Of repeated rows one stays. Rows without a doc_id can't be told apart and stay as distinct rows.
+    Documents link if their five-word shingles have a Jaccard likeness of at least 0.8. Of repeated rows one stays. Rows without a doc_id can't be told apart and stay as distinct rows.
     """
-    groups = simhash.groups(docs.where("doc_id IS NOT NULL"))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    groups = neardup.groups(docs.where("doc_id IS NOT NULL"))
+    kept = groups.where("rep = component_id").select(F.col("rep").alias("doc_id")).distinct()
     first = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS)
     return first.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS).distinct())
 

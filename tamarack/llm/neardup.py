@@ -1,0 +1,157 @@
+"""Near-duplicate groups by exact Jaccard likeness of five-word shingles.
+
+Two texts link if their sets of word shingles have a Jaccard likeness of at least `threshold`; a
+group is what links connect. Candidates come from MinHash: BANDS keys of ROWS least hashes each, so a
+pair of likeness 0.8 shares no key with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-7. Every pair of
+texts that shares a key is then compared on the shingles' 64-bit hashes themselves, whatever the number of
+texts under the key; of its links a key keeps a star for each of its connected groups, which loses no
+connection. Keys with the same texts are met once, and more than `block` texts under a key are dealt into
+parts that meet pairwise. Texts with equal sets are compared as one, under their smallest doc_id.
+
+Defined results: words are lower-cased (A-Z) runs between ASCII blanks; fewer words than a shingle give
+the whole sequence as the one shingle; texts without words equal each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tamarack.llm._components import components
+from tamarack.llm._shared import cut, join_checked, partitions
+from tamarack.llm.simhash import _stars
+
+SHINGLE = 5
+THRESHOLD = 0.8
+SEED = 42
+BANDS, ROWS = 32, 4
+#: Texts that are compared with each other in one go are up to twice as many.
+BLOCK = 512
+_RNG = np.random.default_rng(SEED)
+_XOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_ODD = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles."""
+    words = bytes(text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    pairs = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, len(words) - shingle + 1))
+
+
+def band_keys(held: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a set of shingles; an empty set has keys of its own."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(held), 2048):  # so that a very long text needs no more memory
+        np.minimum(least, ((held[at : at + 2048, None] ^ _XOR) * _ODD).min(axis=0), out=least)
+    least = least.reshape(BANDS, ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = (keys ^ least[:, k]) * _MIX
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def near(sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indices whose sets have a Jaccard likeness of at least threshold."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(n), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    used = np.cumsum(count > 1) - 1  # a shingle that one text has is in no intersection
+    kept = count[column] > 1
+    row, column = row[kept], used[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((n, n), np.float64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        x, y = np.searchsorted(column, (at, at + 2048))
+        held = np.zeros((n, 2048), np.float32)
+        held[row[x:y], column[x:y] - at] = 1
+        shared += held @ held.T
+    union = sizes[:, None] + sizes[None, :] - shared
+    return np.nonzero(np.triu(shared >= threshold * union - 1e-9, 1))
+
+
+def _tables(docs: DataFrame, make, schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x.as_buffer() if x.is_valid else None) for x in batch.column(1)]
+            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            lists = [make(s) for s in sets]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+            values = np.concatenate(lists).view(np.int64) if lists else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.ListArray.from_arrays(ends, values)], ["doc_id", "digest", "held"])
+
+    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return frame.mapInArrow(run, schema)
+
+
+def _links(met: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of met (key, rep, held), of which each key's rows are compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by key: a key's texts are compared when it ends.
+        last, reps, sets = None, [], []
+
+        def flush():
+            ids, at = np.unique(np.array(reps, np.int64), return_inverse=True)
+            a, b = near(sets, threshold)
+            a, b = _stars(ids, at[a], at[b]) if len(a) else (ids[:0], ids[:0])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            held = batch.column(2)
+            ends, values = held.offsets.to_numpy(), held.values.to_numpy().view(np.uint64)
+            for k, (key, rep) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key != last:
+                    if len(sets) > 1:
+                        yield flush()
+                    last, reps, sets = key, [], []
+                reps.append(rep)
+                sets.append(values[ends[k] : ends[k + 1]].copy())
+        if len(sets) > 1:
+            yield flush()
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def groups(docs: DataFrame, *, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(rep, component_id) of each distinct set of shingles in docs (doc_id, text), which have a doc_id.
+
+    rep is the smallest doc_id with the set, component_id the smallest of its group.
+    """
+    spark = docs.sparkSession
+    known = _tables(docs, band_keys, "doc_id long, digest binary, held array<long>")
+    distinct = cut(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("held").alias("keys")), "distinct")
+    keyed = distinct.select("digest", "rep", F.explode("keys").alias("key"))
+    n = F.count(F.lit(1)).alias("n")
+    counts = keyed.groupBy("key").agg(n, *[F.bit_xor(F.xxhash64(F.lit(k), "digest")).alias(f"mark{k}") for k in (0, 1)]).where("n > 1")
+    counts = counts.groupBy("n", "mark0", "mark1").agg(F.min("key").alias("key"))  # keys with the same texts
+    counts = cut(counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "blocks")
+    dealt = cut(join_checked(keyed, counts, "key", "inner"), "dealt")
+    # A key of several parts is met part by part: part p goes to every pair of parts that has p in it.
+    part = F.pmod(F.xxhash64(F.lit(SEED), "digest"), F.col("parts")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(part, o).alias("p"), F.greatest(part, o).alias("q")))
+    met = dealt.select("digest", "rep", "key", F.explode(others).alias("m")).select("digest", "rep", F.xxhash64("key", "m.p", "m.q").alias("key"))
+
+    # Only texts that share a key are read again for their shingles.
+    needed = cut(dealt.select(F.col("rep").alias("_rep")).distinct(), "needed")
+    texts = join_checked(docs, needed, F.col("doc_id") == F.col("_rep"), "left_semi")
+    sets = _tables(texts, lambda s: s, "doc_id long, digest binary, held array<long>")
+    sets = cut(sets.dropDuplicates(["digest"]).select("digest", "held"), "sets")
+    met = met.join(sets, "digest").select("key", "rep", "held").repartition(partitions(spark), "key").sortWithinPartitions("key")
+    joined = components(_links(met, threshold))
+    return distinct.join(joined, distinct["rep"] == joined["node"], "left").select("rep", F.coalesce("component", "rep").alias("component_id"))
