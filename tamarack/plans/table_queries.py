@@ -438,7 +438,7 @@ def tfidf_word(spark, sf_dir):
     q = q.groupBy("w").agg((1.0 + F.log(F.count(F.lit(1)))).alias("wt"))
     norm = q.agg(F.sqrt(F.sum(F.col("wt") * F.col("wt"))).alias("norm"))  # one row
     q = q.crossJoin(F.broadcast(norm)).select("w", (F.col("wt") / F.col("norm")).alias("wt"))  # the words of one item
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(F.regexp_extract_all(F.substring(_squeezed(), 1, 1000), F.lit(term), F.lit(0)), lambda w: F.length(w) > 1)).alias("w"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(F.regexp_extract_all(_squeezed(), F.lit(term), F.lit(0)), lambda w: F.length(w) > 1)).alias("w"))
     tf = d.join(F.broadcast(q), "w").groupBy("doc_id", "w", "wt").agg((1.0 + F.log(F.count(F.lit(1)))).alias("tf"))
     return tf.groupBy("doc_id").agg(F.round(F.sum(F.col("wt") * F.col("tf")) / F.sqrt(F.sum(F.col("tf") * F.col("tf"))), 4).alias("score"))
 
@@ -461,7 +461,7 @@ def tfidf_char(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").where("item_id = 0").select(grams(F.col("text"))).groupBy("g").agg((1.0 + F.log(F.count(F.lit(1)))).alias("wt"))
     norm = q.agg(F.sqrt(F.sum(F.col("wt") * F.col("wt"))).alias("norm"))
     q = q.crossJoin(F.broadcast(norm)).select("g", (F.col("wt") / F.col("norm")).alias("wt"))
-    d = table(spark, sf_dir, "documents").select("doc_id", grams(F.substring("text", 1, 1000)))
+    d = table(spark, sf_dir, "documents").select("doc_id", grams(F.col("text")))
     tf = d.join(F.broadcast(q), "g").groupBy("doc_id", "g", "wt").agg((1.0 + F.log(F.count(F.lit(1)))).alias("tf"))
     return tf.groupBy("doc_id").agg(F.round(F.sum(F.col("wt") * F.col("tf")) / F.sqrt(F.sum(F.col("tf") * F.col("tf"))), 4).alias("score"))
 

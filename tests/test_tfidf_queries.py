@@ -1,0 +1,34 @@
+"""The TF-IDF queries against plain Python on whole texts."""
+
+import math
+import re
+from collections import Counter
+
+import pytest
+
+from tamarack.plans import table_queries
+
+ITEM = "green tea and green leaves"
+DOCS = {1: "filler " * 300 + "green tea", 2: "tea tea leaves " + "pad " * 400 + "green green and tea", 3: "nought", 4: None, 5: "leaves  and\ntea"}
+
+
+def words(text):
+    return [w for w in re.findall(r"\w+", (text or "").lower()) if len(w) > 1]
+
+
+def grams(text):
+    return [f" {w} "[i : i + 3] for w in (text or "").lower().split() for i in range(len(w))]
+
+
+@pytest.mark.parametrize("name, terms", [("tfidf_word", words), ("tfidf_char", grams)])
+def test_whole_texts_are_scored(spark, tmp_path, name, terms):
+    spark.createDataFrame(list(DOCS.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, ITEM), (1, "other")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    q = {w: 1 + math.log(n) for w, n in Counter(terms(ITEM)).items()}
+    norm, expected = math.sqrt(sum(x * x for x in q.values())), {}
+    for d, text in DOCS.items():
+        tf = {w: 1 + math.log(n) for w, n in Counter(terms(text)).items() if w in q}
+        if tf:
+            expected[d] = sum(q[w] / norm * x for w, x in tf.items()) / math.sqrt(sum(x * x for x in tf.values()))
+    got = {r.doc_id: r.score for r in getattr(table_queries, name)(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(expected, abs=1e-4) and 1 in got
