@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine of headers and license files to templates, then inheritance.
 
-Every text is cut into statements, lines or sentences that hold a cue of license language. A statement's
-sparse vector, words weighted by count and inverse document frequency, is compared with the
+Every text is cut into statements, lines or sentences. Only those that hold a cue are compared: a cue is a
+template's word without which its other, lighter words have too little of its weight to reach the threshold,
+so no statement that could reach it is passed over. A statement's sparse vector, words weighted by count and inverse document frequency, is compared with the
 templates' by cosine. Document frequencies of the templates' words are counted over all documents; a
 word that no template has weighs as one that no document has. A document's license is that of its
 statement with the highest cosine of at least `threshold`. A document is a license file if its name
@@ -38,7 +39,6 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "CC0-1.0": ["Released under CC0 1.0, dedicated to the public domain."],
 }
-CUE = r"(?i)licen[cs]e|permission is hereby granted|redistribution and use|public domain|\bCC0\b"
 STATEMENT = r"[^\n.!?;|]*(?:[.](?=[0-9])[^\n.!?;|]*)*[.!?;|\n]?"
 FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)(?:\.[a-z]+)?$"
 THRESHOLD = 0.75
@@ -79,6 +79,24 @@ def _vectors(statements: DataFrame, idf: DataFrame, rare: float, keys: list[str]
     )
 
 
+def cue(forms: DataFrame, threshold: float = THRESHOLD) -> str:
+    """A pattern that some word of every lower-cased statement within threshold of a template matches.
+
+    A cosine is at most the norm of the template's part that the statement shares, over the template's.
+    """
+    held: dict[int, list[tuple[float, str]]] = {}
+    for r in forms.select("form", "word", (F.col("t_weight") / F.col("t_norm")).alias("w")).collect():  # as many as the templates have words
+        held.setdefault(r["form"], []).append((r["w"] ** 2, r["word"]))
+    heavy, least = set(), max(0.0, threshold - 1e-6) ** 2 - 1e-9  # scores are rounded
+    for terms in held.values():
+        light = 0.0
+        for share, word in sorted(terms):
+            light += share
+            if light >= least:
+                heavy.add(word)
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(heavy)) + r")(?![\p{L}\p{N}])"
+
+
 def scan(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, license, score, origin (header, file, inherited or none) of docs (doc_id, path, text)."""
     spark = docs.sparkSession
@@ -89,11 +107,14 @@ def scan(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     forms = forms.select("license", F.col("norm").alias("t_norm"), F.explode("terms").alias("t")).select("license", "t_norm", "t.word", F.col("t.weight").alias("t_weight"), F.xxhash64("license", "t_norm").alias("form"))
     forms = cut(forms, "forms")
 
+    pattern = cue(forms, threshold)
+
     def cued(text) -> F.Column:
-        return F.filter(F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(0)), lambda s: s.rlike(CUE))
+        return F.filter(F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(0)), lambda s: F.lower(s).rlike(pattern))
 
-    found = F.when(F.col("text").rlike(CUE), cued(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    counted = F.when(F.col("text").rlike(CUE), F.regexp_count("text", F.lit(WORD_RUN))).otherwise(0)
+    hit = F.lower("text").rlike(pattern)
+    found = F.when(hit, cued(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    counted = F.when(hit, F.regexp_count("text", F.lit(WORD_RUN))).otherwise(0)
     rows = docs.select("doc_id", "path", F.xxhash64("text").alias("uid"), found.alias("statements"), counted.alias("n_words"))
     rows = cut(rows, "statements")
     texts = rows.select(F.explode("statements").alias("text")).distinct()
