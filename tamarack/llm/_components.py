@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm._shared import cut
+from tamarack.llm._shared import cut, forget
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     mark = _mark(edges)
     while mark[0]:
-        edges = cut(_small(cut(_large(edges), "large")), "small")
+        large = cut(_large(edges), "large")
+        forget(edges)
+        edges = cut(_small(large), "small")
+        forget(large)
         now = _mark(edges)
         if now == mark:
             break

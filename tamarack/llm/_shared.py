@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,34 +17,86 @@ BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 32 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+_WRITING: list = []
+_MADE = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a local master, where driver and executors are one process, may do without it; then it is a folder below the warehouse.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def steps(spark: SparkSession):
+    """Delete, at the end, the tables that were cut inside, but for those given to the function this yields.
+
+    What is kept must not be read from the others any more: it has to be a table that was cut itself.
+    """
+    outer, own, kept = getattr(_MADE, "paths", None), [], []
+    _MADE.paths = own
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._cut_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _MADE.paths = outer
+        if outer is not None:
+            outer += kept
+        for path in own:
+            if path not in kept:
+                _delete(spark, path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that were cut and are needed no more."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back, so a lost executor costs one step.
 
-    The step's shuffle files are dropped once the table is written.
+    The step's shuffle files are dropped once the table is written. See steps() and forget() for the table itself.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tamarack-{uuid.uuid4().hex}/{label}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    with _LOCK:  # the first of several writers sets it, the last puts it back
+        if not _WRITING:
+            _WRITING.append(spark.conf.get(_CLEANUP, None))
+            spark.conf.set(_CLEANUP, "true")
+        _WRITING.append(path)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _LOCK:
+            _WRITING.remove(path)
+            if len(_WRITING) == 1:
+                before = _WRITING.pop()
+                spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    if getattr(_MADE, "paths", None) is not None:
+        _MADE.paths.append(path)
+    return out
 
 
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "left", rows: int = BROADCAST_ROWS, size=None) -> DataFrame:

@@ -9,9 +9,12 @@ are those of all its lanes.
 
 Symbols: letters a-z in either case, UTF-8's bytes above 127, and one blank for anything else.
 
-The training texts are a bounded sample: of about `rows` labelled documents for each language, drawn by
-a hash of doc_id, the first `excerpt` characters, and of these in the hash's order no more than
-`symbols`. Everything else covers all texts as a whole.
+The training texts are a bounded sample: for each of at most `languages` languages (the most frequent labels), of about
+`rows` labelled documents, drawn by a hash of doc_id, the first `excerpt` characters, and of these in the hash's order no more than
+`symbols`, which is some 40 excerpts: an automaton's states have 15 bits. Everything else covers all texts as a whole.
+
+A text that no language explains in fewer bits than random letters would take is no text of a known language:
+noise() tells such rows by the winner's bits a symbol.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is any text if nothing
 could be learned. Ties go to the language that sorts first. Repeated rows each give a row; a null
@@ -29,8 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS, EXCERPT, SYMBOLS = 400, 400, 16_000
+ROWS, EXCERPT, SYMBOLS = 100, 400, 16_000
+#: Languages that are learned, the most frequent labels first, so that dirty labels can't fill the driver.
+LANGUAGES = 200
 UND = "und"
+#: Bits a symbol of random letters and blanks, log2 27, and bits that a text may take beyond that, so that short ones aren't judged by a few phrases.
+NOISE, GRACE = math.log2(27), 64
 LANE = 256
 LANES = 8192
 #: Bits a symbol by which the winner must lead for a score of one half.
@@ -150,16 +157,16 @@ class Model:
         return phrases * self.bits / np.maximum(sizes, 1)[:, None]
 
 
-def training_texts(docs: DataFrame, *, rows: int = ROWS, excerpt: int = EXCERPT, symbols: int = SYMBOLS) -> dict[str, bytes]:
+def training_texts(docs: DataFrame, *, rows: int = ROWS, excerpt: int = EXCERPT, symbols: int = SYMBOLS, languages: int = LANGUAGES) -> dict[str, bytes]:
     """Symbols of the labelled sample by language; docs: doc_id, text, lang.
 
     What comes to the driver is bounded by languages * rows * excerpt.
     """
     labelled = docs.select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return {}
-    share = F.element_at(F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, rows / n)))]), F.col("lang"))
+    share = F.try_element_at(F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, rows / n)))]), F.col("lang"))
     place = F.xxhash64(F.lit(7), "doc_id")
     drawn = labelled.where((place.cast("double") / F.lit(float(1 << 63)) + 1) / 2 < share)
     sample = drawn.select("lang", place.alias("place"), "doc_id", F.substring("text", 1, excerpt).alias("text")).collect()
@@ -180,8 +187,11 @@ def _has_letter(data: np.ndarray) -> bool:
 
 
 def predict(docs: DataFrame, texts: dict[str, bytes], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The keep columns, lang_pred and score of every row of docs; texts is what training_texts returned."""
-    names = [*keep, "lang_pred", "score"]
+    """The keep columns, lang_pred, score and bits of every row of docs; texts is what training_texts returned.
+
+    bits: the winner's bits a symbol beyond the first phrase, null where the text is und.
+    """
+    names = [*keep, "lang_pred", "score", "bits"]
     model: list[Model] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +200,7 @@ def predict(docs: DataFrame, texts: dict[str, bytes], keep: tuple[str, ...] = ("
         m = model[0]
         for batch in batches:
             found, scores = [UND] * batch.num_rows, np.zeros(batch.num_rows)
+            costs = np.full(batch.num_rows, np.nan)
             column = batch.column(batch.num_columns - 1)
             held, places, size = [], [], 0
 
@@ -198,6 +209,7 @@ def predict(docs: DataFrame, texts: dict[str, bytes], keep: tuple[str, ...] = ("
                 best = bits.argmin(axis=1)
                 for i, (place, k) in enumerate(zip(places, best.tolist(), strict=True)):
                     found[place] = m.languages[k]
+                    costs[place] = bits[i, k] - m.bits[k] / len(held[i])
                     rest = np.delete(bits[i], k)
                     lead = rest.min() - bits[i, k] if len(rest) else 1.0
                     scores[place] = lead / (lead + HALF)
@@ -213,11 +225,17 @@ def predict(docs: DataFrame, texts: dict[str, bytes], keep: tuple[str, ...] = ("
                     held, places, size = [], [], 0
             if held:
                 settle()
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(found), pa.array(scores)], names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(found), pa.array(scores), pa.array(costs, mask=np.isnan(costs))], names)
 
     frame = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return frame.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return frame.mapInArrow(run, f"{schema}, lang_pred string, score double, bits double")
+
+
+def noise(text="text") -> F.Column:
+    """Whether a row of predict() is no text of a known language: und, or explained no better than random letters."""
+    n = F.octet_length(text)
+    return (F.col("lang_pred") == UND) | (F.coalesce("bits", F.lit(0.0)) * n >= NOISE * n + GRACE)
 
 
 def held_out() -> F.Column:

@@ -124,7 +124,10 @@ def mix(
 def repeated(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The mixed texts: a row for each repetition of a document, with words = how many of its words it gives.
 
-    plan is what mix returned for docs, with one row per doc_id; a document that isn't taken has no row.
+    plan is what mix returned for docs, with one row per doc_id, which may be null; a document that isn't taken has no row.
+    A column of docs that is called words gives way to the count.
     """
     times = F.concat(F.array_repeat(F.col("size"), F.col("whole").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array()))
-    return docs.join(plan.select("doc_id", F.filter(times, lambda x: x > 0).alias("repeats")), "doc_id").withColumn("words", F.explode("repeats")).drop("repeats")
+    taken = plan.select(F.col("doc_id").alias("_doc"), F.filter(times, lambda x: x > 0).alias("_repeats"))
+    kept = [f"`{c}`" for c in docs.columns if c != "words"]
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc"))).select(*kept, F.explode("_repeats").alias("words"))

@@ -14,12 +14,13 @@ Three times the least of the three p-values, 1 at most, tells how random a token
 often ordinary words look as random depends on their length, so p-values against ordinary text
 come from the corpus: for each class of lengths, the share of plain words of that length or
 shorter that look at least as random. Benjamini and Hochberg's rule within each class, on these,
-gives the tokens that count as secrets. Both counts are over all documents, by class and by
+gives the tokens that count as secrets; PRIOR_WORDS words that don't look random are added to the
+corpus' own, so that a small or wordless table is judged too. Both counts are over all documents, by class and by
 forty bins of the score, so 500 rows at most reach the driver, whatever the input.
 
 Positions are code points, ends exclusive. Defined results: a null or empty text has no spans;
 repeated rows each give a row; a null doc_id stays null; an empty table gives an empty result;
-other columns are ignored by scan() and kept by redact().
+other columns are ignored by scan() and kept by redact(), whatever their names but those that begin with _.
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ BINS = 40
 #: A token whose battery p-value is lower than 10 ** (-WORST_BIN / 4) is never taken for random.
 WORST_BIN = 12
 FALSE_DISCOVERIES = 0.05
+#: Plain words that count as seen in each class beside the corpus' own, none of them random, so that few words don't blind the rule.
+PRIOR_WORDS = 100
+#: Matches of a text that are gathered together.
+CHUNK = 256
 MASK = "[REDACTED]"
 
 _MARK, _OTHER = "\x01", "\x02"
@@ -58,16 +63,25 @@ def _parts(text, pattern: str) -> F.Column:
 
 
 def _matches(parts, keep) -> F.Column:
-    """(start, end, token) of the matches that keep(token) holds for."""
+    """(start, end, token) of the matches that keep(token) holds for.
+
+    Matches are gathered CHUNK at a time, so that a text with very many isn't copied once for each.
+    """
     empty = F.array().cast("array<struct<start:int,end:int,token:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), empty.alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast("array<array<struct<start:int,end:int,token:string>>>").alias("full"), empty.alias("out"))
 
     def step(acc, part):
         end = (acc["at"] + F.length(part)).cast("int")
         one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("token")))
-        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"] & keep(part), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        whole = F.size(acc["out"]) >= CHUNK
+        full = F.when(whole, F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"])
+        out = F.when(whole, empty).otherwise(acc["out"])
+        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), full.alias("full"), F.when(acc["odd"] & keep(part), F.concat(out, one)).otherwise(out).alias("out"))
+
+    def done(acc):
+        return F.when(F.size(acc["full"]) > 0, F.concat(F.flatten(acc["full"]), acc["out"])).otherwise(acc["out"])
 
-    return let(parts, lambda p: F.when(F.size(p) > 1, F.aggregate(p, zero, step, lambda acc: acc["out"])).otherwise(empty))
+    return let(parts, lambda p: F.when(F.size(p) > 1, F.aggregate(p, zero, step, done)).otherwise(empty))
 
 
 def _keeps(kind: str):
@@ -181,21 +195,21 @@ def thresholds(counts: dict[tuple[int, int, bool], int], rate: float = FALSE_DIS
         for b in range(WORST_BIN + 1):
             as_random = sum(n for (c, x, plain), n in counts.items() if plain and c <= k and x <= b)
             discovered = sum(n for (c, x, plain), n in counts.items() if not plain and c == k and x <= b)
-            if discovered and tokens * (1 + as_random) / (1 + nulls) <= rate * discovered:
+            if discovered and tokens * (1 + as_random) / (1 + nulls + PRIOR_WORDS) <= rate * discovered:
                 found[k] = b
     return found
 
 
-def _searched(docs: DataFrame) -> DataFrame:
-    """doc_id, the base spans by kind, and the runs that the battery judges."""
-    text = F.translate(F.coalesce("text", F.lit("")), _MARK, _OTHER)
-    frame = docs.select("doc_id", text.alias("_text"))
-    columns = {kind: _matches(_parts(F.col("_text"), p), _keeps(kind)).cast(f"array<{_SPAN[:-1]},token:string>>") for kind, p in _PATTERNS.items()}
+def _searched(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keep columns, the base spans by kind, and the runs that the battery judges; their names begin with _."""
+    text = F.translate(F.coalesce("text", F.lit("")), _MARK, _OTHER)  # for the search alone: code points stay in their places
+    frame = docs.select(*keep, text.alias("_text"))
+    columns = {kind: _matches(_parts(F.col("_text"), p), _keeps(kind)) for kind, p in _PATTERNS.items()}
     columns["runs"] = _matches(_parts(F.col("_text"), RUN), lambda x: F.lit(True))
-    frame = frame.select("doc_id", *[v.alias(k) for k, v in columns.items()])
-    slim = [F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in _PATTERNS]
+    frame = frame.select(*keep, *[v.alias(f"_{k}") for k, v in columns.items()])
+    slim = [F.transform(f"_{k}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(f"_{k}") for k in _PATTERNS]
     judged = F.transform(
-        "runs",
+        "_runs",
         lambda x: F.struct(
             x["start"].alias("start"),
             x["end"].alias("end"),
@@ -204,11 +218,11 @@ def _searched(docs: DataFrame) -> DataFrame:
             _plain(x["token"]).alias("plain"),
         ),
     )
-    return frame.select("doc_id", *slim, judged.alias("runs"))
+    return frame.select(*keep, *slim, judged.alias("_runs"))
 
 
 def _counted(found: DataFrame) -> dict[tuple[int, int, bool], int]:
-    rows = found.select(F.explode("runs").alias("r")).groupBy("r.length_class", "r.bin", "r.plain").count().collect()
+    rows = found.select(F.explode("_runs").alias("r")).groupBy("r.length_class", "r.bin", "r.plain").count().collect()
     return {(r[0], r[1], r[2]): r[3] for r in rows}
 
 
@@ -219,13 +233,18 @@ def _is_random(length_class, at, plain, limits: dict[int, int]) -> F.Column:
     return found & ~plain
 
 
+def _random(limits: dict[int, int]) -> F.Column:
+    """The battery's spans, where no base span overlaps."""
+    base = F.concat(*[f"_{k}" for k in _PATTERNS])
+    extra = F.filter("_runs", lambda x: _is_random(x["length_class"], x["bin"], x["plain"], limits) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
+    return F.transform(extra, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+
 def scan(docs: DataFrame, *, rate: float = FALSE_DISCOVERIES) -> DataFrame:
     """doc_id, assign, access, hex (base spans) and random (the battery's, where no base span overlaps)."""
     found = cut(_searched(docs), "secrets")
     limits = thresholds(_counted(found), rate)
-    base = F.concat(*_PATTERNS)
-    extra = F.filter("runs", lambda x: _is_random(x["length_class"], x["bin"], x["plain"], limits) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    return found.select("doc_id", *_PATTERNS, F.transform(extra, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("random"))
+    return found.select("doc_id", *[F.col(f"_{k}").alias(k) for k in _PATTERNS], _random(limits).alias("random"))
 
 
 def joined_spans(kinds: tuple[str, ...]) -> F.Column:
@@ -238,20 +257,35 @@ def joined_spans(kinds: tuple[str, ...]) -> F.Column:
     return F.array_join(F.transform(F.array_sort(F.concat(*each)), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def redact(docs: DataFrame, *, rate: float = FALSE_DISCOVERIES, mask: str = MASK) -> DataFrame:
-    """docs with every found secret replaced by mask; all columns stay, n_chars follows the text if there is one."""
-    limits = thresholds(_counted(cut(_searched(docs.withColumn("doc_id", F.lit(0))), "secrets")), rate)
+def _masked(text, spans, mask: str) -> F.Column:
+    """text with each of the spans, which are sorted and may overlap, replaced by mask."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("full"), F.array().cast("array<string>").alias("out"))
 
-    def masked(text, pattern, keep):
-        def changed(parts):
-            return F.array_join(F.transform(parts, lambda x, i: F.when((i % 2 == 1) & keep(x), F.lit(mask)).otherwise(x)), "")
+    def step(acc, x):
+        fresh = x["start"] >= acc["at"]
+        whole = F.size(acc["out"]) >= CHUNK
+        full = F.when(whole, F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"])
+        out = F.when(whole, F.array().cast("array<string>")).otherwise(acc["out"])
+        piece = F.array(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), full.alias("full"), F.when(fresh, F.concat(out, piece)).otherwise(out).alias("out"))
 
-        return let(_parts(text, pattern), changed)
+    def done(acc):
+        rest = F.array(F.substr(text, acc["at"] + 1))
+        return F.array_join(F.concat(F.flatten(acc["full"]), acc["out"], rest), "")
 
-    out = docs.withColumn("text", F.translate("text", _MARK, _OTHER))
-    for kind, pattern in _PATTERNS.items():
-        out = out.withColumn("text", masked(F.col("text"), pattern, _keeps(kind)))
-    out = out.withColumn("text", masked(F.col("text"), RUN, lambda x: _is_random(_length_class(x), _bin(x), _plain(x), limits)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, done)).otherwise(text)
+
+
+def redact(docs: DataFrame, *, rate: float = FALSE_DISCOVERIES, mask: str = MASK) -> DataFrame:
+    """docs with every span of scan() replaced by mask, spans that overlap by one; all columns stay.
+
+    Nothing else of a text changes; null stays null. n_chars follows the text if there is one. The texts are
+    searched once, and written with their spans, as the thresholds need the counts over all of them.
+    """
+    found = cut(_searched(docs.withColumn("_row", F.struct(*docs.columns)), ("_row",)).withColumnRenamed("_row", "_docs"), "secrets")
+    limits = thresholds(_counted(found), rate)
+    spans = F.array_sort(F.concat(*[f"_{k}" for k in _PATTERNS], _random(limits)))
+    out = found.select("_docs.*", spans.alias("_spans")).withColumn("text", F.when(F.col("text").isNotNull(), _masked(F.col("text"), F.col("_spans"), mask)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(*[f"`{c}`" for c in docs.columns])

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tamarack.llm import neardup
+from tamarack.llm import simhash
 
 
 def words_of(text, n=5):
@@ -60,13 +60,23 @@ def test_near_copies_that_are_not_exact(spark, rows):
 
 def test_parts_of_a_block_lose_no_link(spark, rows):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = neardup.groups(frame, block=2).where("rep = component_id").collect()
-    assert sorted(r.rep for r in got) == sorted(brute(rows))
+    got = simhash.representatives(frame, block=2).collect()
+    assert sorted(r.doc_id for r in got) == sorted(brute(rows))
+
+
+def test_rows_that_share_a_doc_id_or_have_none(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one, "x", "t"), (1, two, "x", "t"), (1, two, "x", "t"), (2, one + " z", "y", "t"), (None, two, "x", None), (None, three, "x", "t"), (None, three + " q", "x", "t"), (7, None, "x", "t"), (8, " \n", "x", "t"), (None, "", None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, digest string, _node string").repartition(3)
+    got = [tuple(r) for r in simhash.representatives(frame).collect()]
+    assert set(got) - {(None, three, "x", "t"), (None, three + " q", "x", "t")} == {(1, one, "x", "t"), (1, two, "x", "t"), (7, None, "x", "t")}
+    assert len(got) == 4
+    assert simhash.representatives(frame.limit(0)).count() == 0
 
 
 def test_near_counts_exactly():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, k).astype(np.uint64)) for k in (40, 200, 220, 210, 90, 3, 3, 5000)] + [np.empty(0, np.uint64)]
-    a, b = neardup.near(sets, 0.6)
+    a, b = simhash.alike(sets, 0.6)
     held = [set(s.tolist()) for s in sets]
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for i, j in combinations(range(len(sets)), 2) if (held[i] | held[j]) and likeness(held[i], held[j]) >= 0.6}
