@@ -11,36 +11,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import decontamination, langid, mixing, neardup, secrets
-from tamarack.llm._shared import cut
+from tamarack.llm import decontamination, langid, mixing, secrets, simhash
+from tamarack.llm._shared import cut, join_checked, steps
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The score at which a prediction overrules a label.
+SURE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language can be told; null texts and texts without a letter go."""
+    """Keeps documents in a language that is known, and sets lang where it is missing or clearly another.
+
+    Null texts and texts without a letter go, and so do texts that no language's automaton explains in fewer bits
+    than random letters would take. A null lang becomes the predicted one, as does a label that a prediction of score SURE or more contradicts.
+    """
     held = docs.select(*COLUMNS)
     texts = langid.training_texts(held.where(~langid.held_out()))
-    found = langid.predict(held, texts, keep=("doc_id", "lang", "source", "n_chars", "text"))
-    return found.where(F.col("lang_pred") != langid.UND).select(*COLUMNS)
+    found = langid.predict(held, texts, keep=("doc_id", "lang", "source", "n_chars", "text")).where(~langid.noise())
+    lang = F.when(F.col("lang").isNull() | (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.col("lang"))
+    return found.withColumn("lang", lang).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group, the one with the smallest doc_id.
 
-    Documents link if their five-word shingles have a Jaccard likeness of at least 0.8. Of repeated rows one stays. Rows without a doc_id can't be told apart and stay as distinct rows.
+    Documents link if their five-word shingles have a Jaccard likeness of at least 0.8. Rows are told apart by all their
+    columns, so those without a doc_id, or with one that others have too, are judged by their texts like any others.
     """
-    groups = neardup.groups(docs.where("doc_id IS NOT NULL"))
-    kept = groups.where("rep = component_id").select(F.col("rep").alias("doc_id")).distinct()
-    first = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    return first.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS).distinct())
+    return simhash.representatives(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain an item of the benchmark."""
+    """Drops documents that contain an item of the benchmark; each row is judged by its own text, whatever its doc_id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = cut(decontamination.contained(docs, items).select(F.col("doc_id").alias("hit")).distinct(), "hits")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti").select(*COLUMNS)
+    own = F.struct("doc_id", F.xxhash64("text").alias("text"))
+    hit = decontamination.contained(docs.select(own.alias("doc_id"), "text"), items)
+    hit = cut(hit.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.text").alias("_text")).distinct(), "hits")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
+    return join_checked(docs, hit, same, "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +76,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, name)
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with steps(spark) as keep:  # a stage's own tables go once its result is written
+            docs = keep(cut(stage(spark, docs, sf_dir), name))
     return docs
