@@ -1,19 +1,22 @@
-"""Document fingerprints of closed syncmers.
+"""Document fingerprints of closed syncmers, matched by position.
 
 A k-mer of a text's UTF-8 bytes is a closed syncmer if the least of the s-mers within it, by hash, is its
 first or its last. Whether it is depends on the k-mer alone, so texts that share a stretch share
-its syncmers, whatever stands around it. A fingerprint keeps, of the hashes that fall into each of 128
-bins, the least, as one byte (01 to ff; 00: none fell there): two fingerprints' likeness is the share of
-bins with equal bytes among those that either fills, which estimates the Jaccard index of the sets.
+its syncmers, whatever stands around it: they are anchors. A fingerprint keeps, of the anchors whose hashes fall into each of
+128 bins, the one of the least hash: a byte of the hash (01 to ff; 00: none fell there) and, in the second half of the fingerprint, a byte
+for its place, in 256ths of the text. Two fingerprints are matched by position: of the bins with equal bytes those
+count that lie in the same order in both texts, their longest chain; likeness is its share of the bins that either fills. So it
+estimates the Jaccard index of the anchors for texts that run alike, and is less where passages are in another order.
 
 Defined results: an empty or null text has the fingerprint of zeros, like another such by 1 and any other
-text by 0; a text without a closed syncmer, as one shorter than k bytes is, counts as one k-mer as a whole; an empty table gives an empty
-result; other columns are ignored. For neighbours() see there.
+text by 0; texts of fewer than SHORT bytes have shorter k-mers of their own; a text without a closed syncmer counts as one
+k-mer as a whole; an empty table gives an empty result; other columns are ignored. For neighbours() see there.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 from tamarack.llm._repeats import Hashed, byte_symbols, mix
 from tamarack.llm._shared import partitions, text_bytes
 
-K, S = 20, 8
+K, S = 12, 4
+#: Bytes below which a text has k-mers and s-mers of other lengths.
+SHORT, SHORT_K, SHORT_S = 64, 5, 2
 BINS = 128
 #: Bytes that are fingerprinted together.
 CHUNK = 1 << 20
@@ -55,50 +60,73 @@ def syncmers(data: np.ndarray, bounds: np.ndarray, k: int = K, s: int = S) -> tu
 
 
 def sketches(texts: list[bytes], k: int = K, s: int = S) -> np.ndarray:
-    """A row of 128 bytes for each text."""
-    out = np.zeros((len(texts), BINS), np.uint8)
+    """A row of 256 bytes for each text: 128 of hashes, 128 of places."""
+    out = np.zeros((len(texts), 2 * BINS), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
-    first = 0
-    while first < len(texts):
-        last = first + 1
-        total = sizes[first]
-        while last < len(texts) and total + sizes[last] <= CHUNK:
-            total += sizes[last]
-            last += 1
-        group = texts[first:last]
-        text, hashes = _chunk(group, sizes[first:last], k, s)
-        least = np.full(len(group) * BINS, ~np.uint64(0), np.uint64)
-        np.minimum.at(least, text * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(7))
-        filled = least != ~np.uint64(0)
-        out[first:last] = np.where(filled, mix(least) % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).reshape(-1, BINS)
-        first = last
+    for chosen, kk, ss in ((np.nonzero(sizes >= SHORT)[0], k, s), (np.nonzero((sizes > 0) & (sizes < SHORT))[0], SHORT_K, SHORT_S)):
+        first = 0
+        while first < len(chosen):
+            last = first + 1
+            total = sizes[chosen[first]]
+            while last < len(chosen) and total + sizes[chosen[last]] <= CHUNK:
+                total += sizes[chosen[last]]
+                last += 1
+            rows = chosen[first:last]
+            text, place, hashes = _chunk([texts[i] for i in rows.tolist()], sizes[rows], kk, ss)
+            least = np.full(len(rows) * BINS, ~np.uint64(0), np.uint64)
+            packed = hashes >> np.uint64(16) << np.uint64(8) | (place * 256 // sizes[rows][text]).astype(np.uint64)
+            np.minimum.at(least, text * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64), packed)
+            filled = least != ~np.uint64(0)
+            own = np.where(filled, mix(least >> np.uint64(8)) % np.uint64(255) + np.uint64(1), np.uint64(0))
+            out[rows, :BINS] = own.astype(np.uint8).reshape(-1, BINS)
+            out[rows, BINS:] = np.where(filled, least & np.uint64(255), np.uint64(0)).astype(np.uint8).reshape(-1, BINS)
+            first = last
     return out
 
 
-def _chunk(group: list[bytes], sizes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
+def _chunk(group: list[bytes], sizes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of the anchors of texts."""
     if len(group) == 1 and sizes[0] > CHUNK:  # a very long text, in overlapping pieces
         data, held = np.frombuffer(group[0], np.uint8), []
         for at in range(0, len(data) - k + 1, CHUNK):
             piece = data[at : at + CHUNK + k - 1]
-            held.append(syncmers(piece, np.array([0, len(piece)]), k, s)[2])
-        hashes = np.concatenate(held)
-        return np.zeros(len(hashes), np.int64), hashes
+            _, place, hashes = syncmers(piece, np.array([0, len(piece)]), k, s)
+            held.append((place + at, hashes))
+        places, hashes = (np.concatenate([h[i] for h in held]) for i in range(2))
+        return np.zeros(len(hashes), np.int64), places, hashes
     bounds = np.concatenate(([0], np.cumsum(sizes)))
-    text, _, hashes = syncmers(np.frombuffer(b"".join(group), np.uint8), bounds, k, s)
-    lacking = sizes > 0
+    text, places, hashes = syncmers(np.frombuffer(b"".join(group), np.uint8), bounds, k, s)
+    lacking = np.ones(len(group), bool)
     lacking[text] = False
-    if lacking.any():  # short texts, mostly
+    if lacking.any():  # very short texts, mostly
         alone = np.nonzero(lacking)[0]
         whole = [int.from_bytes(hashlib.blake2b(group[i], digest_size=8).digest(), "little") for i in alone.tolist()]
-        text, hashes = np.concatenate((text, alone)), np.concatenate((hashes, np.array(whole, np.uint64)))
-    return text, hashes
+        text, places = np.concatenate((text, alone)), np.concatenate((places, np.zeros(len(alone), np.int64)))
+        hashes = np.concatenate((hashes, np.array(whole, np.uint64)))
+    return text, places, hashes
+
+
+def _chain(places: list[int]) -> int:
+    """Length of the longest subsequence that doesn't fall."""
+    ends: list[int] = []
+    for x in places:
+        at = bisect_right(ends, x)
+        ends[at : at + 1] = [x]
+    return len(ends)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal bins among those that are filled, row by row; 1 where none is filled on either side."""
-    filled = (a != 0) | (b != 0)
-    n = filled.sum(axis=1)
-    return np.where(n > 0, ((a == b) & filled).sum(axis=1) / np.maximum(n, 1), 1.0)
+    """Share of the bins in the longest chain of equal ones among those that are filled, row by row; 1 where none is filled on either side."""
+    hashes_a, hashes_b = a[:, :BINS], b[:, :BINS]
+    n = ((hashes_a != 0) | (hashes_b != 0)).sum(axis=1)
+    equal = (hashes_a == hashes_b) & (hashes_a != 0)
+    count = equal.sum(axis=1)
+    keys = np.where(equal, a[:, BINS:].astype(np.int32) << 8 | b[:, BINS:], 1 << 16)
+    keys.sort(axis=1)
+    theirs = np.where(keys < 1 << 16, keys & 255, 256)
+    for row in np.nonzero((np.diff(theirs, axis=1) < 0).any(axis=1))[0].tolist():
+        count[row] = _chain(theirs[row, : count[row]].tolist())
+    return np.where(n > 0, count / np.maximum(n, 1), 1.0)
 
 
 def edited(text: str, other: str) -> str:
@@ -107,6 +135,18 @@ def edited(text: str, other: str) -> str:
     return text[: n - n // 3] + other[: n // 3]
 
 
+def _step(value, cuts: list[int]) -> F.Column:
+    """How many of the sorted cuts are at most value: first among every so manieth of them, then within one stretch."""
+    if not cuts:
+        return F.lit(0)
+    width = max(1, int(len(cuts) ** 0.5))
+    stretches = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    listed = lambda values: F.expr(f"array({', '.join(f'{c}L' for c in values)})")
+    within = F.expr("array(" + ", ".join(f"array({', '.join(f'{c}L' for c in s)})" for s in stretches) + ")")
+    upto = F.size(F.filter(listed([s[0] for s in stretches]), lambda c: c <= value))
+    return F.when(upto == 0, 0).otherwise((upto - 1) * width + F.size(F.filter(F.get(within, upto - 1), lambda c: c <= value)))
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """Each document beside the next by descending doc_id (after the last the first), and beside its edited text.
 
@@ -119,21 +159,20 @@ def neighbours(docs: DataFrame) -> DataFrame:
     shares = [i / n_ranges for i in range(1, n_ranges)]
     cuts = docs.agg(F.percentile_approx("doc_id", shares, 10 * n_ranges).alias("c")).first()["c"] if shares else []
     cuts = sorted({int(c) for c in cuts or []})
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-
-    if cuts:
-        steps = F.array(*[F.lit(c).cast("long") for c in cuts])
-        place = F.coalesce(F.size(F.filter(steps, lambda c: c <= F.col("doc_id"))), F.lit(0))
-    else:
-        place = F.lit(0)
-    own = frame.select(place.cast("int").alias("range"), F.lit(0).alias("ahead"), "doc_id", "text")
-    heads = own.groupBy("range").agg(F.max("doc_id").alias("head")).orderBy("range").collect()  # a row for each range
+    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+
+    # Of the ranges, the documents without an id come before all, that is after them in descending order, by their ties.
+    nulls = -1 - F.floor((F.col("tie") / F.lit(float(1 << 63)) + 1) / 2 * n_ranges).cast("int")
+    place = F.when(F.col("doc_id").isNull(), nulls).otherwise(_step(F.col("doc_id"), cuts))
+    own = frame.select(place.cast("int").alias("range"), F.lit(0).alias("ahead"), "doc_id", "text", "tie")
+    heads = own.groupBy("range").agg(F.min(F.struct((-F.col("doc_id")).alias("a"), "tie")).alias("head")).orderBy("range").collect()  # a row for each range
     if heads:
-        follows = [(heads[i]["head"], heads[(i + 1) % len(heads)]["range"]) for i in range(len(heads))]
-        table = spark.createDataFrame(follows, "head long, range int")
-        ahead = frame.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("head"))).select("range", F.lit(1).alias("ahead"), "doc_id", "text")
+        follows = [(*heads[i]["head"], heads[(i + 1) % len(heads)]["range"]) for i in range(len(heads))]
+        table = spark.createDataFrame(follows, "_a long, _tie long, range int")
+        same = (-F.col("doc_id")).eqNullSafe(F.col("_a")) & (F.col("tie") == F.col("_tie"))
+        ahead = frame.join(F.broadcast(table), same).select("range", F.lit(1).alias("ahead"), "doc_id", "text", "tie")
         own = own.unionByName(ahead)
-    order = ["range", "ahead", F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    order = ["range", "ahead", F.col("doc_id").desc_nulls_last(), "tie"]
     dealt = own.repartition(max(partitions(spark), 1), "range").sortWithinPartitions(*order)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

@@ -1,12 +1,12 @@
 """License scans: sparse TF-IDF cosine of headers and license files to templates, then inheritance.
 
-Every text is cut into statements, lines or sentences. Only those that hold a cue are compared: a cue is a
+Every text is cut into statements: its lines cut at the ends of sentences, and its sentences with line breaks as blanks. Only those that hold a cue are compared: a cue is a
 template's word without which its other, lighter words have too little of its weight to reach the threshold,
 so no statement that could reach it is passed over. A statement's sparse vector, words weighted by count and inverse document frequency, is compared with the
 templates' by cosine. Document frequencies of the templates' words are counted over all documents; a
 word that no template has weighs as one that no document has. A document's license is that of its
 statement with the highest cosine of at least `threshold`. A document is a license file if its name
-says so or its license statements make up half of its words.
+says so, or if it is little else than license: FILE_WORDS words or more, FILE_SHARE of them in license statements.
 
 A document without a license of its own takes that of the nearest directory above it that
 has a license file. Directories, not documents, are joined with their ancestors.
@@ -22,27 +22,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm._shared import cut, join_checked
+from tamarack.llm._shared import cut, join_checked, let
 
-# Statements by which texts name their license.
+# Statements by which texts name their license, and the statements of whole license texts.
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF"
+    " MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+)
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004"],
-    "MIT": ["Released under the MIT License.", "The MIT License (MIT)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004",
+        "You may not use this file except in compliance with the License.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction,"
+        " including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,"
+        " and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        _AS_IS,
+    ],
+    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Zlib": ["Released under the zlib License.", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "GNU General Public License Version 3, 29 June 2007"],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "GNU General Public License Version 2, June 1991"],
+    "BSD-3-Clause": [
+        "Licensed under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0, dedicated to the public domain."],
 }
-STATEMENT = r"[^\n.!?;|]*(?:[.](?=[0-9])[^\n.!?;|]*)*[.!?;|\n]?"
-FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)(?:\.[a-z]+)?$"
+# Possessive throughout: a plain group repeated over a long text would overflow the stack.
+STATEMENT = r"[^\n.!?;|]*+(?:[.](?=[0-9])[^\n.!?;|]*+)*+[.!?;|\n]?"
+FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)(?:[.-][^/]*)?$"
 THRESHOLD = 0.75
 WORD_RUN = r"[\p{L}\p{N}]+"
+#: A text without a telling name is a license file if so much of it, and so many words, are license statements.
+FILE_SHARE, FILE_WORDS = 0.9, 20
 
 
 def _words(text) -> F.Column:
@@ -79,8 +110,8 @@ def _vectors(statements: DataFrame, idf: DataFrame, rare: float, keys: list[str]
     )
 
 
-def cue(forms: DataFrame, threshold: float = THRESHOLD) -> str:
-    """A pattern that some word of every lower-cased statement within threshold of a template matches.
+def cues(forms: DataFrame, threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every statement within threshold of a template has some.
 
     A cosine is at most the norm of the template's part that the statement shares, over the template's.
     """
@@ -94,7 +125,7 @@ def cue(forms: DataFrame, threshold: float = THRESHOLD) -> str:
             light += share
             if light >= least:
                 heavy.add(word)
-    return r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(heavy)) + r")(?![\p{L}\p{N}])"
+    return sorted(heavy)
 
 
 def scan(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -107,17 +138,21 @@ def scan(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     forms = forms.select("license", F.col("norm").alias("t_norm"), F.explode("terms").alias("t")).select("license", "t_norm", "t.word", F.col("t.weight").alias("t_weight"), F.xxhash64("license", "t_norm").alias("form"))
     forms = cut(forms, "forms")
 
-    pattern = cue(forms, threshold)
+    heavy = F.array(*[F.lit(w) for w in cues(forms, threshold)])
 
-    def cued(text) -> F.Column:
-        return F.filter(F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(0)), lambda s: F.lower(s).rlike(pattern))
+    def cued(kind: int, text) -> F.Column:
+        held = F.filter(F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(0)), lambda s: F.arrays_overlap(_words(s), heavy))
+        return F.transform(held, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("text")))
 
-    hit = F.lower("text").rlike(pattern)
-    found = F.when(hit, cued(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    counted = F.when(hit, F.regexp_count("text", F.lit(WORD_RUN))).otherwise(0)
-    rows = docs.select("doc_id", "path", F.xxhash64("text").alias("uid"), found.alias("statements"), counted.alias("n_words"))
-    rows = cut(rows, "statements")
-    texts = rows.select(F.explode("statements").alias("text")).distinct()
+    def found(words) -> F.Column:
+        flowing = F.regexp_replace("text", r"\s+", " ")
+        both = F.concat(cued(0, F.col("text")), cued(1, flowing))
+        none = F.array().cast("array<struct<kind:int,text:string>>")
+        return F.when(F.arrays_overlap(words, heavy), F.struct(both.alias("statements"), F.size(words).alias("n_words"))).otherwise(F.struct(none.alias("statements"), F.lit(0).alias("n_words")))
+
+    rows = docs.select("doc_id", "path", F.xxhash64("text").alias("uid"), let(F.coalesce(_words("text"), F.array().cast("array<string>")), found).alias("f"))
+    rows = cut(rows.select("doc_id", "path", "uid", "f.*"), "statements")
+    texts = rows.select(F.explode("statements.text").alias("text")).distinct()
     vectors = cut(_vectors(texts, idf, rare, ["text"]), "vectors")
     terms = vectors.select("text", "norm", "n", F.explode("terms").alias("t"))
     dots = terms.join(F.broadcast(forms), terms["t.word"] == forms["word"]).groupBy("text", "n", "norm", "license", "form", "t_norm")
@@ -125,10 +160,11 @@ def scan(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     best = cosines.where(F.col("score") >= threshold).groupBy("text", "n").agg(F.min(F.struct(-F.col("score"), "license")).alias("b"))
     best = cut(best.select("text", "n", (-F.col("b.col1")).alias("score"), "b.license"), "best")
 
-    spread = rows.where(F.size("statements") > 0).select("doc_id", "path", "uid", "n_words", F.explode("statements").alias("text"))
+    spread = rows.where(F.size("statements") > 0).select("doc_id", "path", "uid", "n_words", F.explode("statements").alias("s")).select("doc_id", "path", "uid", "n_words", "s.*")
     named = spread.distinct().join(best, "text").groupBy("doc_id", "path", "uid", "n_words")
-    named = named.agg(F.min(F.struct(-F.col("score"), "license")).alias("b"), F.sum("n").alias("covered"))
-    is_file = F.col("path").rlike(FILE_NAME) | (2 * F.col("covered") >= F.col("n_words"))
+    named = named.agg(F.min(F.struct(-F.col("score"), "license")).alias("b"), *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"covered{k}") for k in (0, 1)])
+    covered = F.greatest("covered0", "covered1")
+    is_file = F.col("path").rlike(FILE_NAME) | ((F.col("n_words") >= FILE_WORDS) & (covered >= FILE_SHARE * F.col("n_words")))
     named = cut(named.select("doc_id", "path", "uid", "b.license", (-F.col("b.col1")).alias("score"), is_file.alias("is_file")), "named")
 
     folder = F.regexp_replace("path", "/?[^/]*$", "")

@@ -46,17 +46,16 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _damaged(pages: DataFrame) -> DataFrame:
-    """A replica of pages with damage: some records' first byte of html is another, some are marked as lost."""
+    """A replica of pages with damage: some records are lost, some begin otherwise and are longer, so that later offsets move."""
     place = F.pmod(F.col("page_id") * 7919, F.lit(9797))
     hit = (place % 97 == 5) & F.col("html").startswith("<")
-    html = F.when(hit, F.concat(F.lit("?"), F.col("html").substr(F.lit(2), F.length("html")))).otherwise(F.col("html"))
-    return pages.select("page_id", "url", html.alias("html"), F.coalesce(place % 101 == 7, F.lit(False)).alias("lost"))
+    html = F.when(hit, F.concat(F.lit("???"), F.col("html").substr(F.lit(2), F.length("html")))).otherwise(F.col("html"))
+    return pages.where(~F.coalesce(place % 101 == 7, F.lit(False))).select("page_id", "url", html.alias("html"))
 
 
 def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    replica = fixity.manifest(_damaged(pages), keep=("lost",)).where("NOT lost")
-    return fixity.audit(fixity.manifest(pages), replica)
+    return fixity.audit(fixity.manifest(pages), fixity.manifest(_damaged(pages)))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +93,7 @@ s AS (
   SELECT *, (strlen('WARC/1.1..WARC-Type: resource..WARC-Record-ID: <urn:page:') + strlen(page_id::VARCHAR) + strlen('>..WARC-Target-URI: ') + strlen(u)
     + strlen('..Content-Type: text/html..Content-Length: ') + strlen(strlen(body)::VARCHAR) + 4 + strlen(body) + 4)::BIGINT AS length FROM p),
 o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM s)
-SELECT file, "offset", length, page_id, CASE WHEN place % 101 = 7 THEN 'missing' ELSE 'corrupt' END AS status
+SELECT file, "offset", length, page_id, 1::BIGINT AS copies, CASE WHEN place % 101 = 7 THEN 'missing' ELSE 'corrupt' END AS status
 FROM o WHERE place % 101 = 7 OR (place % 97 = 5 AND starts_with(body, '<'))
 """,
     "op1_decontamination": r"""

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tamarack.llm import fingerprints
+from tamarack.llm._repeats import Hashed, byte_symbols
 
 
 def test_syncmers_are_context_free():
@@ -58,3 +59,47 @@ def test_neighbour_edges(spark):
     got = fingerprints.neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 0), (0, 3), (5, 3), (5, 3)]
     assert fingerprints.neighbours(one.limit(0)).count() == 0
+
+
+def naive(text):
+    """A fingerprint by loops over k-mers and their s-mers."""
+
+    def hashed(piece):
+        h = Hashed(byte_symbols(np.frombuffer(piece, np.uint8)))
+        return int(h.of(np.array([0]), np.array([len(piece)]))[0])
+
+    k, s = (fingerprints.K, fingerprints.S) if len(text) >= fingerprints.SHORT else (fingerprints.SHORT_K, fingerprints.SHORT_S)
+    bins = {}
+    for at in range(len(text) - k + 1):
+        inner = [hashed(text[at + i : at + i + s]) for i in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            h = hashed(text[at : at + k])
+            bins.setdefault(h % 128, []).append((h >> 16, at * 256 // len(text)))
+    return {b: min(v)[1] for b, v in bins.items()}
+
+
+@pytest.mark.parametrize("n", [8, 40, 63, 64, 300, 1500])
+def test_sketch_agrees_with_loops(n):
+    rng = random.Random(n)
+    text = "".join(rng.choice("abcdef é") for _ in range(n)).encode()[:n]
+    row, expected = fingerprints.sketches([text])[0], naive(text)
+    assert set(np.nonzero(row[:128])[0].tolist()) == set(expected)
+    assert {b: int(row[128 + b]) for b in expected} == expected
+
+
+def test_position_counts():
+    rng = random.Random(1)
+    a, b = ("".join(rng.choice("abcdefghijklmnop ") for _ in range(800)).encode() for _ in range(2))
+    one, swapped, two_thirds, other = fingerprints.sketches([a + b, b + a, (a + b)[:1067] + bytes(rng.choices(range(97, 123), k=533)), b"nothing of the kind " * 80])
+    like = lambda x, y: float(fingerprints.likeness(x[None], y[None])[0])
+    assert like(one, one) == 1.0 and like(one, other) < 0.05
+    assert 0.35 < like(one, swapped) < 0.65 and 0.35 < like(one, two_thirds) < 0.65
+    assert [fingerprints._chain(x) for x in ([], [1, 1, 2], [3, 1, 2, 0, 2])] == [0, 3, 3]
+
+
+def test_short_texts_keep_some_likeness():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(n)) for n in range(18, 300)]
+    new = [fingerprints.edited(t, o) for t, o in zip(texts, texts[1:] + texts[:1], strict=True)]
+    near = fingerprints.likeness(*(fingerprints.sketches([t.encode() for t in x]) for x in (texts, new)))
+    assert near.min() > 0 and near.mean() > 0.4

@@ -1,6 +1,9 @@
+import textwrap
+
 from tamarack.llm import licenses
 
 MIT, GPL = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+MIT_TEXT = " ".join(licenses.TEMPLATES["MIT"][i] for i in (1, 2, 4, 5))
 PROSE = "there is no word of law in this file, only prose that goes on and on for a while"
 
 
@@ -13,6 +16,8 @@ def test_headers_files_and_inheritance(spark):
         (5, "a/b/z.txt", PROSE + "\n" + MIT + "\n" + PROSE),
         (6, "other/q.txt", "license to be lost. " + PROSE),
         (7, "e/short", GPL),
+        (10, "m/whole", "\n".join(textwrap.wrap(MIT_TEXT, 60))),
+        (11, "m/n/o.txt", PROSE + " " * 70 + PROSE),
         (8, "e/f/g.txt", None),
         (9, None, ""),
         (2, "a/x.txt", PROSE),
@@ -22,7 +27,7 @@ def test_headers_files_and_inheritance(spark):
     got = [(r.doc_id or 0, r.license, r.origin) for r in licenses.scan(frame).collect()]
     assert set(got) == {
         (1, "MIT", "file"), (2, "MIT", "inherited"), (3, "GPL-3.0", "inherited"), (4, "GPL-3.0", "file"), (5, "MIT", "header"),
-        (6, None, "none"), (7, "GPL-3.0", "file"), (8, "GPL-3.0", "inherited"), (9, None, "none"), (0, "MIT", "inherited"),
+        (6, None, "none"), (7, "GPL-3.0", "header"), (8, None, "none"), (10, "MIT", "file"), (11, "MIT", "inherited"), (9, None, "none"), (0, "MIT", "inherited"),
     }
     assert len(got) == len(rows)
     assert licenses.scan(frame.limit(0)).count() == 0
@@ -33,3 +38,9 @@ def test_every_template_names_its_license(spark):
     frame = spark.createDataFrame(rows, "doc_id long, path string, text string, truth string")
     told = {r.doc_id: r.license for r in licenses.scan(frame).collect()}
     assert told == {i: k for i, _, _, k in rows}
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "a/b", "license " + "1." * 100_000), (2, "a/c", "license " * 50_000), (3, "a/d", ("; " * 50_000) + MIT)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert {(r.doc_id, r.license) for r in got} == {(1, None), (2, None), (3, "MIT")}
