@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +13,9 @@ from tamarack.functions import lexicon as lx
 #: Java's \w is ASCII and, with (?U), keeps combining marks; these classes are the ones meant.
 _WORD = r"[\p{L}\p{N}_]"
 _BEFORE, _AFTER = rf"(?<!{_WORD})", rf"(?!{_WORD})"
-TOKEN = r"[a-z0-9]+(?:[+#.][a-z0-9]+)*"
+#: Fixed value: a token. Possessive in Spark, where a plain repeated group would overflow the stack on long texts; SQL has the same without.
+TOKEN = r"[a-z0-9]++(?:[+#.][a-z0-9]++)*+"
+TOKEN_SQL = r"[a-z0-9]+(?:[+#.][a-z0-9]+)*"
 
 
 def let(value: Column, use) -> Column:
@@ -66,24 +66,16 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(dashed, r"[^\p{L}\p{N}+#./-]+", " "))
 
 
-def clean(text: Column, rewrite: bool = True) -> Column:
-    """The normal form of a text that is in NFKC already (as ASCII is); empty for null."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    return squeeze(phrases_and_numbers(text) if rewrite else text)
-
+def nfkc(text: Column) -> Column:
+    """A text in NFKC, by the ICU that comes with Spark; texts that are ASCII throughout, which is the rule, pass as they are."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text)
 
-@F.pandas_udf(T.StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
-
-def nfkc(df: DataFrame, *columns: str) -> DataFrame:
-    """Put string columns into NFKC. Rows that are ASCII throughout, which is the rule, stay out of Python."""
-    other = F.lit(False)
-    for c in columns:
-        other = other | F.coalesce(F.col(c).rlike(r"[^\x00-\x7F]"), F.lit(False))
-    changed = df.where(other).withColumns({c: _nfkc(c) for c in columns})
-    return df.where(~other).unionByName(changed)
+def clean(text: Column, rewrite: bool = True) -> Column:
+    """The normal form of a text: NFKC, romanised phrases rewritten, squeezed; empty for null."""
+    text = let(F.coalesce(text.cast("string"), F.lit("")), nfkc)
+    return squeeze(let(text, phrases_and_numbers) if rewrite else text)
 
 
 def tokens(cleaned: Column) -> Column:

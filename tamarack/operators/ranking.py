@@ -1,7 +1,7 @@
 """The flagship: score every fingerprint in one light pass, then rework a bounded shortlist.
 
 Plan: one projection over the fingerprints ending in a top-N (each task keeps N rows), whose result, at most
-the largest pool, is cached; everything after works on those rows.
+the largest pool, is spread over tasks again; everything after works on those rows.
 """
 
 from __future__ import annotations
@@ -41,14 +41,21 @@ class Settings:
         return max(1, self.top_k, self.strict_pool, self.risk_pool if self.firewall else 0, self.calibration_pool if self.calibration is not None else 0)
 
 
+def _components(fingerprints: DataFrame, query: Query, s: Settings, deep: bool) -> DataFrame:
+    return scoring.components(evidence.proof(fingerprints, deep=deep, limit=s.snippets), query, penalties=s.penalties, semantic=s.semantic)
+
+
+def light_scores(fingerprints: DataFrame, query: Query, s: Settings) -> DataFrame:
+    """Every fingerprint with its light score, less its light risk if there is a firewall."""
+    df = scoring.weigh(_components(fingerprints, query, s, deep=False), s.weights)
+    return scoring.with_risk(rules.assess(df, s.firewall, deep=False)) if s.firewall else df
+
+
 def shortlist(fingerprints: DataFrame, query: Query, s: Settings) -> DataFrame:
     """The light pass: the pool's best rows by light score."""
-    df = scoring.base(evidence.proof(fingerprints), query, weights=s.weights, penalties=s.penalties, semantic=s.semantic)
-    if s.firewall:
-        df = scoring.with_risk(rules.assess(df, s.firewall, deep=False))
+    df = light_scores(fingerprints, query, s)
     df = df.orderBy(F.desc("score.calibrated_final_score"), F.concat("candidate_id", F.lit(_LAST))).limit(s.pool)
-    keep = [c for c in fingerprints.columns]
-    return df.select(*keep, F.col("score.final_score").alias("light_score"))
+    return df.select(*fingerprints.columns, F.col("score.final_score").alias("light_score"))
 
 
 def _numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
@@ -56,10 +63,13 @@ def _numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def rerank(df: DataFrame, s: Settings) -> DataFrame:
-    """Deep risk, the guard on high risks, disqualification, and the two bands: safe head, then the rest."""
+def banded(df: DataFrame, s: Settings) -> DataFrame:
+    """The guard on high risks, disqualification, and the two bands: safe head, then the rest.
+
+    df has candidate_id, and the structs score, proof and risk; it gets original_rank, safe_head and adjusted_rank.
+    """
     df = _numbered(df, "original_rank", F.desc("score.final_score"), F.col("candidate_id"))
-    df = scoring.with_risk(rules.assess(df, s.firewall, deep=True))
+    df = scoring.with_risk(df)
     level, alignment = F.col("risk.risk_level"), F.col("proof.proof_alignment_score")
     guarded = F.round(F.greatest(F.lit(0.0), F.col("score.risk_adjusted_score") - 0.08), 6)
     left = F.when((level == "high") & (alignment < 0.85), guarded).otherwise(F.col("score.risk_adjusted_score"))
@@ -76,26 +86,32 @@ def rerank(df: DataFrame, s: Settings) -> DataFrame:
 
 
 def rank_profiles(fingerprints: DataFrame, query: Query, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """The top_k fingerprints for a query, with rank, final score, reasoning, and every intermediate struct."""
+    """The top_k fingerprints for a query, with rank, final score, reasoning, and every intermediate struct.
+
+    What the light pass leaves, at most the largest pool, is one partition; it is spread over tasks again for the deep pass.
+    """
     s = settings
-    pool = shortlist(fingerprints, query, s).persist()
-    pool = _numbered(pool, "place", F.desc("light_score"), F.col("candidate_id"))
-    df = scoring.base(evidence.proof(pool, deep=True, limit=s.snippets), query, weights=s.weights, penalties=s.penalties, semantic=s.semantic)
+    spread = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pool = _numbered(shortlist(fingerprints, query, s), "place", F.desc("light_score"), F.col("candidate_id")).repartition(min(spread, 64))
+    return finish(_components(pool, query, s, deep=True), query, s).drop("parts")
+
+
+def finish(df: DataFrame, query: Query, s: Settings) -> DataFrame:
+    """The ranking of a pool whose rows have place, proof and parts: strict pass, risk and bands, calibration, order."""
+    df = scoring.weigh(df, s.weights)
     df = df.withColumn("strict", F.col("place") <= s.strict_pool)
     df = scoring.strict(df, F.col("strict"))
     if not s.compat:
         df = df.withColumn("score", F.col("score").withField("calibrated_final_score", F.col("score.final_score")))
     if s.firewall:
         df = df.where(F.col("place") <= max(s.risk_pool, s.calibration_pool if s.calibration is not None else 0))
-        df = rerank(df, s)
+        df = banded(rules.assess(df, s.firewall, deep=True), s)
     if s.calibration is not None:
         order = [F.col("adjusted_rank")] if s.firewall else [F.col("place")]
         df = _numbered(df, "calibration_place", *order)
         if "risk" not in df.columns:
             df = df.withColumn("risk", F.lit(None).cast("struct<risk_score:double,risk_level:string,disqualified:boolean,flags:array<string>,penalty:double>"))
-        done = scoring.calibrate(df.where(F.col("calibration_place") <= s.calibration_pool), constraints(query), config=s.calibration)
-        rest = df.where(F.col("calibration_place") > s.calibration_pool)
-        df = done.unionByName(rest, allowMissingColumns=True)
+        df = scoring.calibrate(df, constraints(query), config=s.calibration, where=F.col("calibration_place") <= s.calibration_pool)
     head = [F.desc("safe_head")] if s.firewall and not s.compat else []
     order = [*head, F.desc("score.calibrated_final_score"), F.col("candidate_id")]
     df = _numbered(df.orderBy(*order).limit(s.top_k), "rank", *order)

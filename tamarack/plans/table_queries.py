@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import lexicon as lx
 from tamarack.functions import text as tx
+from tamarack.plans.sql_text import sql_count, sql_rewritten, sql_squeeze, sql_words
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -34,18 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sql_squeeze(x: str) -> str:
-    return rf"trim(regexp_replace(translate(lower({x}), '—–', '--'), '[^\p{{L}}\p{{N}}+#./-]+', ' ', 'g'))"
-
-
-def sql_words(x: str) -> str:
-    return f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
-
-
-def sql_count(padded: str, term: str) -> str:
-    return f"(length({padded}) - length(replace({padded}, ' {term} ', ''))) // {len(term) + 2}"
-
-
 def _squeezed(text: str = "text"):
     return tx.squeeze(F.coalesce(text, F.lit("")))
 
@@ -91,7 +80,7 @@ _NAMES = " || ".join("CASE WHEN " + " + ".join(sql_count("p", t) for t in terms)
 
 @query(f"""
 WITH d AS (SELECT doc_id, {sql_squeeze("coalesce(text, '')")} AS c FROM documents),
-p AS (SELECT doc_id, ' ' || c || ' ' AS p, len(regexp_extract_all(c, '{tx.TOKEN}')) AS n FROM d)
+p AS (SELECT doc_id, ' ' || c || ' ' AS p, len(regexp_extract_all(c, '{tx.TOKEN_SQL}')) AS n FROM d)
 SELECT doc_id, n::INT AS n_tokens, CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, ({_TOTAL}) / n) END AS density, {_NAMES} AS terms FROM p""")
 def phrase_density(spark, sf_dir):
     """Occurrences of phrases against the number of tokens, and which phrases occur."""
@@ -105,7 +94,7 @@ def phrase_density(spark, sf_dir):
 
 @query(f"""
 SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct, coalesce(list_max(list_transform(t, lambda x: length(x))), 0)::INT AS longest
-FROM (SELECT doc_id, regexp_extract_all({sql_squeeze("coalesce(text, '')")}, '{tx.TOKEN}') AS t FROM documents)""")
+FROM (SELECT doc_id, regexp_extract_all({sql_squeeze("coalesce(text, '')")}, '{tx.TOKEN_SQL}') AS t FROM documents)""")
 def token_stats(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(_squeezed()).alias("t"))
     longest = F.coalesce(F.array_max(F.transform("t", lambda x: F.length(x))), F.lit(0))
@@ -117,15 +106,7 @@ def clean_text_basic(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", _squeezed().alias("cleaned"))
 
 
-def _sql_rewritten(x: str) -> str:
-    edge = r"[^\p{L}\p{N}_]"
-    for pattern, put in [*lx.PHRASES, *lx.NUMBERS.items()]:
-        for _ in range(2):  # neighbours share an edge
-            x = rf"regexp_replace({x}, '(^|{edge})(?:{pattern})({edge}|$)', '\1{put}\2', 'gi')"
-    return x
-
-
-@query(f"SELECT conv_id, turn, {_sql_rewritten('text')} AS rewritten FROM conversations")
+@query(f"SELECT conv_id, turn, {sql_rewritten('text')} AS rewritten FROM conversations")
 def transliterate_numbers(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.phrases_and_numbers(F.col("text")).alias("rewritten"))
 
