@@ -51,14 +51,18 @@ def light_scores(fingerprints: DataFrame, query: Query, s: Settings) -> DataFram
     return scoring.with_risk(rules.assess(df, s.firewall, deep=False)) if s.firewall else df
 
 
+def top(df: DataFrame, score: str, n: int) -> DataFrame:
+    """The n best rows by a score; among equals the smaller id, but a longer one before its own prefix."""
+    return df.orderBy(F.desc(score), F.concat(F.col("candidate_id").cast("string"), F.lit(_LAST))).limit(n)
+
+
 def shortlist(fingerprints: DataFrame, query: Query, s: Settings) -> DataFrame:
     """The light pass: the pool's best rows by light score."""
-    df = light_scores(fingerprints, query, s)
-    df = df.orderBy(F.desc("score.calibrated_final_score"), F.concat("candidate_id", F.lit(_LAST))).limit(s.pool)
+    df = top(light_scores(fingerprints, query, s), "score.calibrated_final_score", s.pool)
     return df.select(*fingerprints.columns, F.col("score.final_score").alias("light_score"))
 
 
-def _numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """Number a shortlist's rows; it has at most as many as the pool."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
@@ -68,7 +72,7 @@ def banded(df: DataFrame, s: Settings) -> DataFrame:
 
     df has candidate_id, and the structs score, proof and risk; it gets original_rank, safe_head and adjusted_rank.
     """
-    df = _numbered(df, "original_rank", F.desc("score.final_score"), F.col("candidate_id"))
+    df = numbered(df, "original_rank", F.desc("score.final_score"), F.col("candidate_id"))
     df = scoring.with_risk(df)
     level, alignment = F.col("risk.risk_level"), F.col("proof.proof_alignment_score")
     guarded = F.round(F.greatest(F.lit(0.0), F.col("score.risk_adjusted_score") - 0.08), 6)
@@ -82,7 +86,7 @@ def banded(df: DataFrame, s: Settings) -> DataFrame:
     order = [F.desc("score.risk_adjusted_score"), F.col("candidate_id")]
     place = F.row_number().over(Window.partitionBy(safe).orderBy(*order))
     df = df.withColumn("safe_head", safe & (place <= s.strict_top_n))
-    return _numbered(df, "adjusted_rank", F.desc("safe_head"), *order)
+    return numbered(df, "adjusted_rank", F.desc("safe_head"), *order)
 
 
 def rank_profiles(fingerprints: DataFrame, query: Query, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -92,7 +96,7 @@ def rank_profiles(fingerprints: DataFrame, query: Query, settings: Settings = Se
     """
     s = settings
     spread = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pool = _numbered(shortlist(fingerprints, query, s), "place", F.desc("light_score"), F.col("candidate_id")).repartition(min(spread, 64))
+    pool = numbered(shortlist(fingerprints, query, s), "place", F.desc("light_score"), F.col("candidate_id")).repartition(min(spread, 64))
     return finish(_components(pool, query, s, deep=True), query, s).drop("parts")
 
 
@@ -108,13 +112,13 @@ def finish(df: DataFrame, query: Query, s: Settings) -> DataFrame:
         df = banded(rules.assess(df, s.firewall, deep=True), s)
     if s.calibration is not None:
         order = [F.col("adjusted_rank")] if s.firewall else [F.col("place")]
-        df = _numbered(df, "calibration_place", *order)
+        df = numbered(df, "calibration_place", *order)
         if "risk" not in df.columns:
             df = df.withColumn("risk", F.lit(None).cast("struct<risk_score:double,risk_level:string,disqualified:boolean,flags:array<string>,penalty:double>"))
         df = scoring.calibrate(df, constraints(query), config=s.calibration, where=F.col("calibration_place") <= s.calibration_pool)
     head = [F.desc("safe_head")] if s.firewall and not s.compat else []
     order = [*head, F.desc("score.calibrated_final_score"), F.col("candidate_id")]
-    df = _numbered(df.orderBy(*order).limit(s.top_k), "rank", *order)
+    df = numbered(df.orderBy(*order).limit(s.top_k), "rank", *order)
     return df.withColumn("reasoning", reasoning(df))
 
 
@@ -155,4 +159,4 @@ def keyword_only(fingerprints: DataFrame, query: Query, top_k: int) -> DataFrame
     wanted = query.tokens
     score = F.size(F.array_intersect(held, scoring.strings(wanted))) / F.lit(float(max(1, len(wanted))))
     best = fingerprints.select("candidate_id", score.alias("score")).orderBy(F.desc("score"), F.desc("candidate_id")).limit(top_k)
-    return _numbered(best, "rank", F.desc("score"), F.col("candidate_id"))
+    return numbered(best, "rank", F.desc("score"), F.col("candidate_id"))

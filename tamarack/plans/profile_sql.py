@@ -127,7 +127,7 @@ g AS MATERIALIZED (
     {rounded(f"greatest({_group('strong', (*lx.PRODUCTION_SKILLS, 'Deployment', 'Scale'))}, d_production)")} AS production FROM g3)"""
 
 
-def _risk(deep: bool, source: str) -> str:
+def risk(deep: bool, source: str) -> str:
     """CTEs that end in `risked`: findings, risk, level, disqualification and penalty of the rows of source."""
     none_known = "(NOT sig AND loc IS NULL)"
     stale = "date_diff('day', last_day::DATE, DATE '2026-12-31')"
@@ -186,12 +186,12 @@ risked AS MATERIALIZED (SELECT *, risk_level = 'severe' AND (n_severe >= 2 OR {a
       ELSE greatest(0.30::DOUBLE, 0.30::DOUBLE + (risk - 0.75::DOUBLE) * 0.80::DOUBLE, total * 0.60::DOUBLE) END''', 0.5))} AS penalty FROM r5)"""
 
 
-AUDIT = f"""{PROOF}, h AS (SELECT *, 0 AS n_lacking FROM g), {_risk(True, 'h')}
+AUDIT = f"""{PROOF}, h AS (SELECT *, 0 AS n_lacking FROM g), {risk(True, 'h')}
 SELECT 'P' || doc_id AS candidate_id, {rounded('risk')} AS risk_score, risk_level, disqualified, array_to_string(flags, '|') AS flags, penalty FROM risked"""
 
 
-def light(query: Query, source: str = "g") -> str:
-    """CTEs that end in `scored`: the light base score of the rows of source, and in `risked` with light risk."""
+def scored(query: Query, source: str = "g") -> str:
+    """CTEs that end in `scored`: the light base score of the rows of source."""
     skills = list(dict.fromkeys([*query.required, *query.preferred]))
     present = named("lp", {n: ALIASES[n] for n in lx.SKILLS})
     credit = " + ".join(f"CASE WHEN list_contains(supported, {q(s)}) THEN 1.0::DOUBLE WHEN list_contains(present, {q(s)}) THEN 0.55::DOUBLE ELSE 0.0::DOUBLE END" for s in query.required)
@@ -214,11 +214,11 @@ s3 AS MATERIALIZED (SELECT *, {present} AS present FROM s2),
 s4 AS MATERIALIZED (SELECT *, {clamped(f"0.55::DOUBLE * overlap + 0.45::DOUBLE * (len(list_intersect(present, {listed(skills)})) / {d(float(len(skills)))})")} AS lexical,
     {clamped(f"({credit}) / {d(float(len(query.required)))}")} AS must, {lacking} AS n_lacking, {clamped("0.65::DOUBLE * retrieval + 0.35::DOUBLE * evaluation")} AS depth_score,
     CASE WHEN len(signals) > 0 THEN list_reduce(list_prepend(0.0::DOUBLE, signals), lambda a, b: a + b) / len(signals) ELSE 0.5::DOUBLE END AS hire, {cost} AS cost FROM s3),
-scored AS MATERIALIZED (SELECT *, {rounded(clamped(f"{total} - cost"), 6)} AS final_score FROM s4), {_risk(False, 'scored')}"""
+scored AS MATERIALIZED (SELECT *, {rounded(clamped(f"{total} - cost"), 6)} AS final_score FROM s4)"""
 
 
 def scores(query: Query) -> str:
-    return f"""{PROOF}, {light(query)}
+    return f"""{PROOF}, {scored(query)}, {risk(False, 'scored')}
 SELECT 'P' || doc_id AS candidate_id, final_score, {rounded('lexical')} AS jd_relevance_score, {rounded('must')} AS must_have_skill_score, {rounded('depth_score')} AS retrieval_evaluation_depth_score,
   {rounded('hire')} AS hireability_score, {rounded('cost')} AS penalty_score, alignment AS proof_alignment_score, array_to_string(flags, '|') AS light_flags,
   {rounded(f"CASE WHEN disqualified THEN 0.0::DOUBLE ELSE {clamped('final_score - penalty')} END", 6)} AS risk_adjusted_score FROM risked"""

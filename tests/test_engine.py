@@ -1,8 +1,9 @@
 """Profiles end to end: small records whose results follow by hand, and eight cases whose order is known."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from tamarack.operators import evidence, features, ranking, reports, rules, scoring
+from tamarack.operators import evidence, features, ranking, reports, rules, scoring, validators, variants
 from tamarack.operators.query import constraints, parse
 
 SCHEMA = (
@@ -169,17 +170,54 @@ def test_strict_pass_shows_outside_compat(fingerprints):
     assert all(r.score.final_score == r.score.calibrated_final_score for r in shown)
 
 
+def test_scores_over_a_table_equal_the_column(spark):
+    from pyspark.sql import functions as F
+
+    from tamarack.operators import similarity
+
+    query = "search ranking search engine a b"
+    texts = ["ranking of search engine search results", "", "zebra", "engine " * 900 + "search engines", "a", "aaaa aaaaaaa"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    alone = {r.id: r.s for r in df.select("id", similarity.similarity(query, F.col("t"), max_chars=10**6).alias("s")).collect()}
+    got = {r.id: r.score for r in similarity.scores(df, "id", "t", query).collect()}
+    assert got == pytest.approx(alone) and got[2] == 0.0 < got[3]
+
+
+def test_long_dotted_texts_have_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from tamarack.functions import text as tx
+
+    df = spark.createDataFrame([("1." * 100_000,), ("a+b#c.d. " * 20_000,)], "t string")
+    assert sorted(r.n for r in df.select(F.size(tx.tokens(F.col("t"))).alias("n")).collect()) == [1, 20_000]
+
+
 def test_outputs_and_validation(spark, fingerprints, tmp_path):
-    ranked = ranking.rank_profiles(fingerprints, JOB, ranking.Settings(top_k=5)).persist()
+    ranked = ranking.rank_profiles(fingerprints, JOB, ranking.Settings(top_k=5, firewall=rules.Firewall(), calibration={})).persist()
     reports.write_outputs(ranked, str(tmp_path))
-    table = spark.read.csv(f"{tmp_path}/ranked", header=True)
-    assert reports.validate(table, 5) == []
-    assert "duplicate ids" in reports.validate(table.unionByName(table), 10)
-    assert reports.validate(table.drop("score"), 5) == ["missing columns: score"]
-    assert "scores out of range" in reports.validate(table.withColumn("score", table.score.cast("double") + 5), 5)
-    assert reports.explanation_cards(ranked, 2).count() == 2
+    table, broken = (spark.read.csv(f"{tmp_path}/{name}", header=True) for name in ("ranked", "breakdown"))
+    assert len(broken.columns) == 28
+    assert validators.validate(table, 5, breakdown=broken, calibrated=True) == []
+    assert "duplicate ids" in validators.validate(table.unionByName(table), 10)
+    assert validators.validate(table.drop("score"), 5) == ["missing columns: score"]
+    assert "scores out of range" in validators.validate(table.withColumn("score", table.score.cast("double") + 5), 5)
+    bad = broken.withColumns({"risk_level": F.lit("severe"), "disqualified": F.lit("true")})
+    assert {"a disqualified row is ranked", "a severe risk is in the first ten"} <= set(validators.validate(table, 5, breakdown=bad))
+    told = validators.safety(table, broken, rows=5, files=("proofs",))
+    assert told["passed"] and told["warnings"] == ["proofs is missing"]
+    assert not validators.safety(table.withColumn("reasoning", F.lit("short")), bad, rows=5)["passed"]
+    proofs = spark.read.json(f"{tmp_path}/proofs")
+    cards = reports.explanation_cards(table, broken, proofs, 2).orderBy("rank").collect()
+    assert [c["rank"] for c in cards] == [1, 2] and cards[0].markdown.startswith("## 1. STRONG")
+    assert reports.proofs_of(proofs, ["STRONG"]).count() == 1
     assert reports.histogram(fingerprints, "anomaly_flags", 3).first()["n"] >= 1
     assert reports.profile_summary(fingerprints).first().n == 8
+    report = reports.write_calibration(ranked, constraints(JOB), str(tmp_path))
+    assert report["candidates_calibrated"] == 5 and 0 < report["top10_average_readiness"] < 1
+    audit = reports.write_audit(reports.audit(fingerprints), str(tmp_path), ranked)
+    assert audit["n"] == 8 and audit["top10"]["n"] == 5
+    assert spark.read.text(f"{tmp_path}/risk_audit.json").count() > 5
+    assert reports.plain({"a": float("nan"), "b": (1, float("inf"))}) == {"a": None, "b": [1, None]}
 
 
 def test_audits_and_variants(fingerprints):
@@ -187,9 +225,22 @@ def test_audits_and_variants(fingerprints):
     assert sum(r.n for r in reports.risk_summary(found).collect()) == 8
     merged = reports.merged_reports(found, found.where("candidate_id = 'STUFFER'")).collect()
     assert {r.candidate_id for r in merged if r.deep} == {"STUFFER"}
-    assert all(abs(sum(s.weights.values()) - 1) < 1e-9 for s in reports.variants(ranking.Settings()).values())
-    got = {r.variant: r for r in reports.ablation(fingerprints, JOB, ranking.Settings(top_k=4)).collect()}
-    assert got["baseline"].shared == 4 and len(got) == 3
+    assert all(abs(sum(s.weights.values()) - 1) < 1e-9 for s in variants.settings(ranking.Settings()).values())
+    base = ranking.Settings(top_k=4, firewall=rules.Firewall(), calibration={})
+    got = {r.variant: r for r in variants.ablation(fingerprints, JOB, base).collect()}
+    assert got["keyword_only"].overlap == 1.0 and len(got) == 4 and got["baseline"].n == 4
+    assert got["plus_firewall"].average_risk > 0 == got["baseline"].average_risk
+    swept = {r.variant: r for r in variants.sensitivity(fingerprints, JOB, base).collect()}
+    assert len(swept) == 8 and swept["default"].overlap == 1.0
+
+
+def test_variants_share_components_and_agree_with_whole_rankings(fingerprints):
+    base = ranking.Settings(top_k=5, firewall=rules.Firewall(), calibration={})
+    some = {k: v for k, v in variants.settings(base).items() if k in ("proof_heavy", "firewall_strict")}
+    tops = variants.heads(fingerprints, JOB, some).collect()
+    for name, s in some.items():
+        own = [(r.candidate_id, r["rank"], r.score.calibrated_final_score) for r in ranking.rank_profiles(fingerprints, JOB, s).collect()]
+        assert sorted((r.candidate_id, r["rank"], r.score) for r in tops if r.variant == name) == sorted(own)
 
 
 def test_calibration_by_hand(spark):

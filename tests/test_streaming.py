@@ -26,3 +26,16 @@ def test_profiles_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.candidate_id for r in got] == ["A"]
+
+
+def test_raw_records_stream_as_they_batch(spark, tmp_path):
+    df = spark.createDataFrame([("A", ["Python"], "built python search"), (None, ["SQL"], "none")], "candidate_id string, skills array<string>, career_history string")
+    df.write.parquet(str(tmp_path / "raw"))
+    stream = features.fingerprints(spark.readStream.schema(df.schema).parquet(str(tmp_path / "raw")))
+    q = stream.writeStream.format("memory").queryName("prints").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.claimed_skills[0]: r for r in spark.table("prints").collect()}
+    batch = {r.claimed_skills[0]: r for r in features.fingerprints(df).collect()}
+    assert got["Python"] == batch["Python"]
+    assert got["SQL"].candidate_id.startswith("GENERATED_") and got["SQL"].asDict() | {"candidate_id": 0} == batch["SQL"].asDict() | {"candidate_id": 0}
