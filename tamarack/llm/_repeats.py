@@ -236,10 +236,10 @@ def _places(kind: int, doc: np.ndarray, start: np.ndarray, n: np.ndarray, off: n
     part = _part(ids, uids, n_parts)[doc]
     for p, at in _spread(part, np.lexsort((start, doc))):
         d, counts, small, large = _pack_places(doc[at], start[at])
-        yield p, kind, _pack([*_table_of(ids, uids, d), counts, small, large, n[at].astype(np.uint8), off[at].astype(np.uint8)])
+        yield p, kind, _pack([*_table_of(ids, uids, d), counts, small, large, n[at].astype(np.uint16), off[at].astype(np.uint16)])
 
 
-_PLACE_KINDS = [*_KEYS, np.uint32, np.uint16, np.int64, np.uint8, np.uint8]
+_PLACE_KINDS = [*_KEYS, np.uint32, np.uint16, np.int64, np.uint16, np.uint16]
 
 
 def _read_places(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -331,7 +331,7 @@ def _extract(symbols_of: Callable, length: int, k: int, n_buckets: int, n_parts:
         for b, places in _spread((runs.t0 % _U(n_buckets)).astype(np.int64), np.lexsort((runs.start, runs.doc))):
             r = Runs(*[a[places] for a in runs])
             d, counts, small, large = _pack_places(r.doc, r.start)
-            yield b, RUNS, _pack([*_table_of(ids, uids, d), counts, small, large, r.n.astype(np.uint8), r.off.astype(np.uint8), (r.t0 >> _U(32)).astype(np.uint32), r.cls])
+            yield b, RUNS, _pack([*_table_of(ids, uids, d), counts, small, large, r.n.astype(np.uint16), r.off.astype(np.uint16), (r.t0 >> _U(32)).astype(np.uint32), r.cls])
 
     def run(batches):
         held, size = [], 0
@@ -341,7 +341,7 @@ def _extract(symbols_of: Callable, length: int, k: int, n_buckets: int, n_parts:
             for symbols, bounds, ids, uids, bases in _pieces(batches, symbols_of, length):
                 t0, cls, piece, start, n, off = runs_of(symbols, bounds, length, k)
                 if len(t0):
-                    held.append((ids, uids, (t0, cls, piece.astype(np.int32), (start + bases[piece]).astype(np.int64), n.astype(np.uint8), off.astype(np.uint8))))
+                    held.append((ids, uids, (t0, cls, piece.astype(np.int32), (start + bases[piece]).astype(np.int64), n.astype(np.uint16), off.astype(np.uint16))))
                     size += len(t0)
                 if size >= FLUSH:
                     yield from flush(held)
@@ -443,7 +443,7 @@ def _extend(symbols_of: Callable, length: int, k: int, n_buckets: int, n_parts:
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (second[1:] != second[:-1])
         matched = owner > owner[np.nonzero(new)[0]][np.cumsum(new) - 1]
-        one = np.ones(len(key), np.uint8)
+        one = np.ones(len(key), np.uint16)
         for row in _places(MATCHED, doc[matched], start[matched], one[matched], one[matched], ids, uids, n_parts):
             yield -1 - row[0], PASS, bytes([row[1]]) + row[2]
         rest = np.nonzero(~matched)[0]
@@ -507,7 +507,7 @@ def _settle(n_parts: int):
         chosen = order[ids[order] > owner]
         if len(chosen):
             unique, doc = np.unique(np.stack((ids[chosen], uids[chosen].astype(np.int64))), axis=1, return_inverse=True)
-            one = np.ones(len(chosen), np.uint8)
+            one = np.ones(len(chosen), np.uint16)
             yield from _places(MATCHED, doc.reshape(-1), start[chosen], one, one, unique[0], unique[1].astype(np.int32), n_parts)
 
     return lambda key, table: _grouped(key, table, handle)
@@ -527,12 +527,19 @@ def spans(at: list, length: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     return start[first], np.minimum(end[np.append(first[1:], len(start)) - 1], total)
 
 
+def check_lengths(length: int, k: int) -> None:
+    """A run has up to length - k + 1 windows, which rows hold in 16 bits."""
+    if not 0 < k <= length or length - k + 1 > 0xFFFF:
+        raise ValueError(f"an anchor of {k} symbols doesn't go with a length of {length}")
+
+
 def repeats(docs: DataFrame, symbols_of: Callable, finish: Callable, schema: str, *, length: int, k: int) -> DataFrame:
     """finish(data, starts, ends) of every document, with the stretches that smaller documents have.
 
     docs: doc_id, text. finish gets the text's bytes and arrays of symbol places; it returns the
     values that follow doc_id in schema.
     """
+    check_lengths(length, k)
     total = text_bytes(docs)
     n_buckets, n_parts = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // PART_BYTES))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("uid"), F.col("text").cast("binary").alias("text"))

@@ -132,3 +132,16 @@ def test_edges(spark):
     assert got == [(0, 0), (0, 0), (1, 0), (1, 0), (5, 60), (5, 60)]
     assert substrings.digests(frame.limit(0)).count() == 0
     assert suffixes.digests(spark.createDataFrame([], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))).count() == 0
+
+
+def test_other_lengths(spark):
+    """More windows to an anchor than a byte can count."""
+    rng = random.Random(7)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(500))
+    rows = [(1, text), (2, "some words before " + text + " and after"), (3, text.replace("w", "v", 1))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for length, anchor in ((400, 24), (400, 1), (499, 499), (500, 100)):
+        expected = brute(rows, length, words, b" ".join)
+        assert {r.doc_id: r.n_removed for r in substrings.digests(frame, length, anchor).collect()} == {d: e[1] for d, e in expected.items()}
+    with pytest.raises(ValueError):
+        substrings.digests(frame, 100_000, 2)
