@@ -6,9 +6,11 @@ Exit codes: 0 if all went well, 1 if a validation failed, 2 if an input is missi
 from __future__ import annotations
 
 import argparse
+import io
 import json
 import sys
 import time
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,7 +61,8 @@ class Run:
         return path
 
     def fingerprints(self) -> DataFrame:
-        return self.spark.read.parquet(self.need(self.store, "the table of fingerprints"))
+        found, self.errors = readers.read_fingerprints(self.spark, self.need(self.store, "the table of fingerprints"))
+        return found
 
     def query(self) -> query.Query:
         text = self.spark.read.text(self.need(self.args.query, "the query document"), wholetext=True).first()
@@ -78,11 +81,11 @@ class Run:
 def profile(run: Run) -> int:
     path = run.need(run.args.input, "the input")
     records = readers.read_records(run.spark, path, run.args.limit)
-    errors = readers.count_errors(run.spark, path) if readers.detect_format(path) == "jsonl" else 0
+    schema = readers.inspect_schema(records, path)
     most = int(run.config.get("max_text_length_per_candidate", features.MAX_TEXT))
     summary = reports.write_fingerprints(features.fingerprints(records, max_text=most), run.store)
-    run.write("schema_report", readers.inspect_schema(records))
-    run.write("profiler_summary", {**summary, "loader_errors": errors})
+    run.write("schema_report", schema)
+    run.write("profiler_summary", {**summary, "loader_errors": schema["malformed"]})
     return 0
 
 
@@ -179,17 +182,37 @@ def explain(run: Run) -> int:
     return 0
 
 
+def _files(run: Run) -> DataFrame:
+    """The output folder's files but for stored fingerprints, with their digests."""
+    files = run.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(run.need(run.args.output, "the output folder"))
+    return reports.digest(files.where("NOT path RLIKE '[.](crc|parquet|zip)$' AND NOT path RLIKE '/_SUCCESS$'"), "content").orderBy("path")
+
+
 def digest(run: Run) -> int:
     """The SHA-256 of every output file."""
-    files = run.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(run.need(run.args.output, "the output folder"))
-    rows = reports.digest(files.where("NOT path RLIKE '[.](crc|parquet)$'"), "content").select("path", "length", "content_sha256").orderBy("path").collect()
-    print(json.dumps(reports.plain(rows), indent=2))
+    print(json.dumps(reports.plain(_files(run).select("path", "length", "content_sha256").collect()), indent=2))
+    return 0
+
+
+def package(run: Run) -> int:
+    """A ZIP of the ranked table, its breakdown, proofs and reports, with a manifest; the tables have top_k rows."""
+    run.need(f"{run.args.output}/ranked", "the ranked table")
+    root = run.spark._jvm.org.apache.hadoop.fs.Path(run.args.output).toUri().getPath().rstrip("/") + "/"
+    rows = _files(run).where("NOT path RLIKE '/risk_flags/'").collect()
+    listed = [{"name": r["path"].split(root, 1)[-1], "bytes": r["length"], "sha256": r["content_sha256"]} for r in rows]
+    manifest = {"files": listed, "config": run.config, "spark": run.spark.version, "python": sys.version.split()[0]}
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for r, told in zip(rows, listed, strict=True):
+            z.writestr(zipfile.ZipInfo(told["name"]), bytes(r["content"]))
+        z.writestr(zipfile.ZipInfo("manifest.json"), json.dumps(reports.plain(manifest), indent=2))
+    reports.write_bytes(run.spark, f"{run.args.output}/package.zip", held.getvalue())
     return 0
 
 
 MODES = {
     "profile": profile, "rank": rank, "profile-and-rank": profile_and_rank, "audit": audit, "ablation": ablation, "sensitivity": sensitivity, "validate": validate, "benchmark": check_cases,
-    "profile-runtime": profile_runtime, "explain": explain, "digest": digest,
+    "profile-runtime": profile_runtime, "explain": explain, "digest": digest, "package": package,
 }
 
 

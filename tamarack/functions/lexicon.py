@@ -92,6 +92,11 @@ TECHNICAL_TERMS = {
     "LangChain": ("langchain",),
 }
 
+STATED_EXPERIENCE = (
+    r"\b(\d{1,2})\s*(?:-|–|to)\s*(\d{1,2})\+?\s*years?\b",
+    r"\b(?:at least|min(?:imum)?(?: of)?)\s*(\d{1,2})\+?\s*years?\b",
+    r"\b(\d{1,2})\+\s*years?\b",
+)
 PREFERRED_MARKERS = (
     "preferred", "nice to have", "good to have", "bonus", "would like", "like you to have",
     "won't reject", "will not reject", "desirable", "optional",
@@ -169,6 +174,7 @@ TITLE_PATTERN = (
     r"\s*(?:ai|ml|machine learning|data|software|backend|search|ranking|nlp|research)?"
     r"\s*(?:engineer|scientist|architect|manager|developer|researcher)\b"
 )
+COMPANY_PATTERN = r"\b(?:at|@|with)\s+([A-Z][A-Za-z0-9&.\- ]{1,40}?)(?=\s+(?:as|where|from|for|and)|[,.]|$)"
 EXPERIENCE_PATTERN = r"(?i)\b(\d{1,2}(?:\.\d+)?)\+?\s*(?:years?|yrs?)\b"
 RANGE_PATTERN = r"(?i)\b(\d{1,2})\s*(?:-|–|to)\s*(\d{1,2})\+?\s*years?\b"
 SINGLE_PATTERN = r"(?i)\b(\d{1,2}(?:\.\d+)?)\+?\s*years?(?:\s+of\s+experience)?\b"

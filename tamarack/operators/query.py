@@ -57,12 +57,7 @@ class Query:
 
 
 def _experience(text: str) -> list[tuple[int, int | None]]:
-    patterns = (
-        r"\b(\d{1,2})\s*(?:-|–|to)\s*(\d{1,2})\+?\s*years?\b",
-        r"\b(?:at least|min(?:imum)?(?: of)?)\s*(\d{1,2})\+?\s*years?\b",
-        r"\b(\d{1,2})\+\s*years?\b",
-    )
-    found = [tuple(int(g) for g in m.groups()) for p in patterns for m in re.finditer(p, text, re.I)]
+    found = [tuple(int(g) for g in m.groups()) for p in lx.STATED_EXPERIENCE for m in re.finditer(p, text, re.I)]
     return list(dict.fromkeys((f[0], f[1] if len(f) > 1 else None) for f in found))
 
 

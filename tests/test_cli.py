@@ -1,6 +1,7 @@
 """The command line end to end on small files."""
 
 import json
+import zipfile
 
 import pytest
 
@@ -53,6 +54,10 @@ def test_modes_in_turn(spark, folder, capsys):
     capsys.readouterr()
     assert run(spark, folder, "digest") == 0
     assert "content_sha256" in capsys.readouterr().out
+    assert run(spark, folder, "package") == 0
+    with zipfile.ZipFile(out / "package.zip") as z:
+        names = z.namelist()
+    assert "manifest.json" in names and "explanation_cards.md" in names and any(n.startswith("ranked/") for n in names)
 
 
 def test_yaml_without_a_library(folder):
