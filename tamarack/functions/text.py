@@ -51,7 +51,8 @@ def phrases_and_numbers(text: Column) -> Column:
 
     A text's words tell which patterns can match, mostly none; no replacement makes a word that another seeks.
     """
-    held = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
+    heads = strings(sorted({alternative.split(r"\s")[0] for pattern, _ in _PAIRS for alternative in pattern.split("|")}))
+    held = F.array_intersect(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), heads)
 
     def rewritten(words: Column) -> Column:
         useful = F.filter(_pairs(), lambda x: F.arrays_overlap(words, x["w"]))
@@ -92,35 +93,55 @@ def padded(cleaned: Column) -> Column:
     return F.concat(F.lit(" "), cleaned, F.lit(" "))
 
 
-def has_any(padded_text: Column, terms: Iterable[str]) -> Column:
-    """Whether any term stands between spaces."""
-    return F.exists(strings(f" {t} " for t in terms if t), lambda t: F.contains(padded_text, t))
+def found(cleaned: Column, terms: Iterable[str]) -> Column:
+    """The terms that stand between spaces in a cleaned text, each once, in no particular order.
+
+    The text's words are hashed once: a term of one word is one of them, and a longer one is only sought where its first word is.
+    """
+    terms = sorted({t for t in terms if t})
+    longer = [t for t in terms if " " in t]
+    heads = strings(sorted({t.split(" ")[0] for t in terms}))
+    pairs = F.expr("array(" + ", ".join(f"struct({quoted(t.split(' ')[0])} AS h, {quoted(t)} AS t)" for t in longer) + ")") if longer else None
+
+    def of(few: Column) -> Column:
+        short = F.array_intersect(few, strings(t for t in terms if " " not in t))
+        if pairs is None:
+            return short
+        hits = F.filter(pairs, lambda x: F.array_contains(few, x["h"]) & F.contains(padded(cleaned), padded(x["t"])))
+        return F.concat(short, F.transform(hits, lambda x: x["t"]))
+
+    return let(F.array_intersect(F.split(cleaned, " "), heads), of)
+
+
+def has_any(held: Column, terms: Iterable[str]) -> Column:
+    """Whether any term is among those that found() gave."""
+    return F.arrays_overlap(held, strings(t for t in terms if t))
 
 
-def present(padded_text: Column, terms: Iterable[str]) -> Column:
-    """The terms that stand between spaces, as listed."""
-    return F.filter(strings(terms), lambda t: F.contains(padded_text, F.concat(F.lit(" "), t, F.lit(" "))))
+def present(held: Column, terms: Iterable[str]) -> Column:
+    """The terms that are among those that found() gave, as listed."""
+    return F.array_intersect(strings(terms), held)
 
 
-def named(padded_text: Column, groups: dict[str, Iterable[str]]) -> Column:
-    """Names of the groups of which any term is present, as listed."""
-    listed = ", ".join(f"struct({quoted(n)} AS n, array({', '.join(quoted(f' {t} ') for t in terms if t)}) AS t)" for n, terms in groups.items())
-    hits = F.filter(F.expr(f"array({listed})"), lambda g: F.exists(g["t"], lambda t: F.contains(padded_text, t)))
+def named(held: Column, groups: dict[str, Iterable[str]]) -> Column:
+    """Names of the groups of which found() gave any term, as listed."""
+    listed = ", ".join(f"struct({quoted(n)} AS n, array({', '.join(quoted(t) for t in terms if t)}) AS t)" for n, terms in groups.items())
+    hits = F.filter(F.expr(f"array({listed})"), lambda g: F.arrays_overlap(held, g["t"]))
     return F.transform(hits, lambda g: g["n"])
 
 
 def phrase_count(padded_text: Column, term: str) -> Column:
     """How often a term stands between spaces; of neighbours that share a space every other counts."""
-    return phrase_counts(padded_text, [term])
+    return phrase_counts(padded_text, strings([term]))
 
 
-def phrase_counts(padded_text: Column, terms: Iterable[str]) -> Column:
-    """The sum of phrase_count over terms."""
+def phrase_counts(padded_text: Column, terms: Column) -> Column:
+    """The sum of phrase_count over an array of terms."""
 
     def one(total: Column, term: Column) -> Column:
-        return total + ((F.length(padded_text) - F.length(F.replace(padded_text, term, F.lit("")))) / F.length(term)).cast("int")
+        return total + ((F.length(padded_text) - F.length(F.replace(padded_text, padded(term), F.lit("")))) / (F.length(term) + 2)).cast("int")
 
-    return F.aggregate(strings(f" {t} " for t in terms), F.lit(0), one)
+    return F.aggregate(terms, F.lit(0), one)
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:

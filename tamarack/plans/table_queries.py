@@ -96,11 +96,10 @@ SELECT doc_id, n::INT AS n_tokens, CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, ({_T
 def phrase_density(spark, sf_dir):
     """Occurrences of phrases against the number of tokens, and which phrases occur."""
     d = table(spark, sf_dir, "documents").select("doc_id", _squeezed().alias("c"))
-    d = d.select("doc_id", tx.padded(F.col("c")).alias("p"), F.size(tx.tokens(F.col("c"))).alias("n_tokens"))
-    total = sum((tx.phrase_count(F.col("p"), t) for terms in PHRASES.values() for t in terms), F.lit(0))
-    found = tx.named(F.col("p"), PHRASES)
-    density = F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.least(F.lit(1.0), total / F.col("n_tokens")))
-    return d.select("doc_id", "n_tokens", density.alias("density"), F.array_join(F.transform(found, lambda x: F.concat(x, F.lit(";"))), "").alias("terms"))
+    every = [t for terms in PHRASES.values() for t in terms]
+    d = d.select("doc_id", tx.padded(F.col("c")).alias("p"), F.size(tx.tokens(F.col("c"))).alias("n_tokens"), tx.found(F.col("c"), every).alias("held"))
+    density = F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.least(F.lit(1.0), tx.phrase_counts(F.col("p"), F.col("held")) / F.col("n_tokens")))
+    return d.select("doc_id", "n_tokens", density.alias("density"), F.array_join(F.transform(tx.named(F.col("held"), PHRASES), lambda x: F.concat(x, F.lit(";"))), "").alias("terms"))
 
 
 @query(f"""

@@ -27,8 +27,8 @@ def test_nfkc_only_touches_what_is_not_ascii(spark):
 def test_tokens_counts_and_phrases(spark):
     assert one(spark, tx.tokens(F.lit("c++ node.js 3.5 a+b x."))) == ["c", "node.js", "3.5", "a+b", "x"]
     assert one(spark, tx.phrase_count(F.lit(" a a a b "), "a")) == " a a a b ".count(" a ")
-    assert one(spark, tx.present(tx.padded(F.lit("deep learning")), ["learning", "deep learning", "deep le"])) == ["learning", "deep learning"]
-    assert one(spark, tx.has_any(F.lit("  "), ["", "x"])) is False
+    assert one(spark, tx.present(tx.found(F.lit("deep learning"), ["learning", "deep learning", "deep le"]), ["learning", "deep learning", "deep le"])) == ["learning", "deep learning"]
+    assert one(spark, tx.has_any(tx.found(F.lit(""), ["", "x"]), ["", "x"])) is False
 
 
 def test_sentences(spark):
