@@ -3,7 +3,8 @@
 Every source is given weight * level words, but never more than max_epochs times what it
 holds; the level is raised, and the excess so shared again by weight, until no source is above
 its cap. A source's documents are then taken a whole number of times, and a seeded sample of
-them once more for the fraction that is left; the last document of that sample is taken in part.
+them once more for the fraction that is left; the last document of that sample is taken in part. The sample
+goes by a hash of the seed and the doc_id, or of the text's hash where there is none.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own that
 comes last; repeated rows count as often as they occur, and each is taken by itself; an empty
@@ -82,7 +83,8 @@ def mix(
     Columns: doc_id, source, size, weight, source_size, target, whole (times taken as a whole),
     part (words of one more, partial or whole, repetition) and taken (whole * size + part).
     """
-    sized = cut(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # spreads what has no doc_id over the seeded order
+    sized = cut(docs.select("doc_id", "source", word_count("text").alias("size"), tie.alias("tie")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     ranked = _ranked(sources)
     cycle = F.array(*[F.lit(w) for w in weights])
@@ -100,7 +102,7 @@ def mix(
         .withColumnRenamed("source", "of"),
         "planned",
     )
-    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("tie").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
     dealt = join_checked(sized, planned, F.col("source").eqNullSafe(F.col("of"))).select(
         "doc_id", "source", "size", "weight", "source_size", "target", "whole", "rest", "sid", order.alias("order"), "buckets"
     )
