@@ -21,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm._shared import cut, join_checked, let
+from tamarack.llm._shared import BROADCAST_ROWS, cut, join_checked, let
 
 WORDS = 5
 THRESHOLD = 0.8
+#: Bits of the sieve for each sketch hash, where there are too many to broadcast, and in all.
+SIEVE_BITS, MOST_BITS = 16, 1 << 28
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -77,6 +79,17 @@ def sketches(items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD)
     )
 
 
+def _sieved(spread: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """Rows of spread whose hash may be one of the n in keys: a bit for each hash, SIEVE_BITS of them for each key, in bitmaps of 4 KB that are broadcast."""
+    size = min(MOST_BITS, 1 << max(15, (SIEVE_BITS * n).bit_length()))
+    at = F.pmod("hash", F.lit(size))
+    bucket, place = F.floor(at / F.lit(1 << 15)).alias("_bucket"), (at % F.lit(1 << 15)).alias("_place")
+    marks = keys.select(bucket, place).groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_bits"))  # MOST_BITS / 8 bytes at most
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = spread.select("*", bucket, place).join(F.broadcast(marks), "_bucket")
+    return held.where(F.getbit(byte, F.col("_place") % 8) == 1).drop("_bucket", "_place", "_bits")
+
+
 def contained(docs: DataFrame, items: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (doc_id, item_id, n_item, n_shared, containment) with containment of at least threshold."""
     known = cut(sketches(items, words, threshold), "sketches")
@@ -97,7 +110,10 @@ def contained(docs: DataFrame, items: DataFrame, *, words: int = WORDS, threshol
     floor = F.lit(0)
     for row in classes:
         floor = F.when((F.col("size") == row["size"]) & (F.col("size_class") == row["size_class"]), F.lit(row["least"])).otherwise(floor)
-    hits = join_checked(spread, keys, "hash", "inner").where(F.col("held") - F.col("size") + 1 >= floor)
+    n_keys = keys.count()
+    if n_keys > BROADCAST_ROWS:  # the join will shuffle: only what may match goes into it
+        spread = _sieved(spread, keys, n_keys)
+    hits = join_checked(spread, keys, "hash", "inner", BROADCAST_ROWS).where(F.col("held") - F.col("size") + 1 >= floor)
     pairs = cut(hits.groupBy("doc_id", "item_id").agg(F.max("size").alias("size")), "pairs")
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
     joined = join_checked(texts, pairs, F.col("_doc").eqNullSafe(F.col("doc_id")), "inner").drop("_doc", "size")

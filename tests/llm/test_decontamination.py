@@ -32,6 +32,7 @@ def test_against_brute_force(spark, monkeypatch, broadcast):
         from tamarack.llm import _shared
 
         monkeypatch.setattr(_shared.join_checked, "__defaults__", ("left", 0, None))
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)  # so that the sieve is used
     rng = random.Random(2)
     vocabulary = [f"v{i}" for i in range(400)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 4, 5, 6, 12, 30, 60])))) for i in range(25)]

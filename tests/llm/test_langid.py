@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -64,3 +65,20 @@ def test_held_out_accuracy_and_edges(spark):
     assert all(0 <= r.score <= 1 for r in got)
     assert langid.identified(frame.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.identified(frame.withColumn("lang", frame.lang.substr(9, 1)).where("lang IS NULL")).collect()} == {"und"}
+
+
+def test_predictions_agree_with_greedy_parses(spark):
+    rng = random.Random(12)
+    as_symbols = lambda t: langid._SYMBOL[np.frombuffer(t.encode(), np.uint8)].tobytes()
+    training = {k: as_symbols(prose(rng, k, 150)) for k in ("en", "de", "fr")}
+    texts = [prose(rng, rng.choice(list(SYLLABLES)), n) for n in (1, 2, 5, 60, 300, 5)] + ["€ x \U0001f600 é", "A" * 600]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), training).collect()}
+    for i, text in enumerate(texts):
+        symbols = as_symbols(text)
+        lanes = [symbols[a : a + langid.LANE] for a in range(0, len(symbols), langid.LANE)]
+        bits = {k: sum(greedy_phrases(lane, t) for lane in lanes) * math.log2(len(t) + 1) / len(symbols) for k, t in training.items()}
+        best = min(sorted(bits), key=bits.get)
+        lead = min(v for k, v in bits.items() if k != best) - bits[best]
+        assert got[i].lang_pred == best
+        assert abs(got[i].score - lead / (lead + langid.HALF)) < 1e-9
+        assert abs(got[i].bits - (bits[best] - math.log2(len(training[best]) + 1) / len(symbols))) < 1e-9
