@@ -1,10 +1,14 @@
 """Profiles end to end: small records whose results follow by hand, and eight cases whose order is known."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tamarack.operators import evidence, features, ranking, reports, rules, scoring, validators, variants
-from tamarack.operators.query import constraints, parse
+from tamarack.functions import lexicon as lx
+from tamarack.operators.query import clean, constraints, parse
 
 SCHEMA = (
     "candidate_id string, current_title string, years_of_experience double, location string, skills array<string>, "
@@ -93,6 +97,54 @@ def test_light_and_deep_evidence_differ(spark):
     assert deep.proof_alignment_score == 0.6
 
 
+def plain_deep(row):
+    """Claims by support, from loops over sentences and over matches in the raw text."""
+
+    def sentences(text):
+        flat = " ".join((text or "").split())
+        return [x for x in (s.strip(" -;,.") for s in re.split(r"(?<=[.!?;])\s+|\s+\|\s+", flat)) if x]
+
+    def mentions(texts, aliases):
+        return any(f" {a} " in f" {clean(s)} " for t in texts for s in sentences(t) for a in aliases)
+
+    def near_action(raw, aliases):
+        for a in aliases:
+            for m in re.finditer(rf"(?<!\w){re.escape(a)}(?!\w)", raw):
+                if any(x in raw[max(0, m.start() - 110) : m.end() + 110] for x in lx.ACTIONS):
+                    return True
+        return False
+
+    known = {clean(n): a for n, a in evidence.ALIASES.items()}
+    out = {2: [], 1: [], 0: []}
+    for skill, norm in zip(row.claimed_skills, row.claimed_norm, strict=True):
+        aliases = known.get(norm, [norm])
+        how = 2 if mentions((row.career_evidence_text, row.current_title), aliases) else 1 if mentions((row.education_text,), aliases) or near_action(row.raw_norm, aliases) else 0
+        out[how].append(skill)
+    return out
+
+
+def test_deep_evidence_agrees_with_loops(spark):
+    rng = random.Random(21)
+    terms = [a for aliases in evidence.ALIASES.values() for a in aliases] + ["rust", "go", "cobol"]
+    filler = ["we", "the", "team", "with", "for", "and", "of", "teams", "built", "improved", "retrievals", "xpython", "users"]
+
+    def prose(n):
+        return " ".join((rng.choice(terms) if rng.random() < 0.15 else rng.choice(filler)) + rng.choice(["", "", "", ".", ";", ",", " |"]) for _ in range(n))
+
+    skills = [*lx.SKILLS, "Rust", "Go", "COBOL", "python", "Learning to Rank"]
+    rows = [(f"P{i}", rng.choice(["Search Engineer", "ML lead", "Clerk"]), None, None, rng.sample(skills, rng.randint(0, 9)), prose(rng.choice([0, 5, 60])), [("Co", prose(rng.choice([1, 20, 80])))], prose(rng.choice([0, 4])), None) for i in range(60)]
+    fp = features.fingerprints(spark.createDataFrame(rows, SCHEMA))
+    got = evidence.proof(fp, deep=True).collect()
+    told = {0: 0, 1: 0, 2: 0}
+    for r in got:
+        expected = plain_deep(r)
+        assert (r.proof.supported_skills, r.proof.weakly_supported_skills, r.proof.unsupported_skills) == (expected[2], expected[1], expected[0]), r.candidate_id
+        n = sum(map(len, expected.values()))
+        assert r.proof.proof_alignment_score == (round((len(expected[2]) + 0.4 * len(expected[1])) / n, 4) if n else 0.0)
+        told = {k: told[k] + len(v) for k, v in expected.items()}
+    assert min(told.values()) > 20
+
+
 def test_base_score_by_hand(spark):
     query = parse("Must have Python. Docker preferred.")
     df = features.fingerprints(spark.createDataFrame([person("A", "Dev", 3.0, ["Python"], "wrote python code")], SCHEMA))
@@ -176,7 +228,7 @@ def test_scores_over_a_table_equal_the_column(spark):
     from tamarack.operators import similarity
 
     query = "search ranking search engine a b"
-    texts = ["ranking of search engine search results", "", "zebra", "engine " * 900 + "search engines", "a", "aaaa aaaaaaa"]
+    texts = ["ranking of search engine search results", "", "zebra", "engine " * 900 + "search engines", "a", "aaaa aaaaaaa", "search" * 300 + " x" + "ranking" * 147 + "sea"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     alone = {r.id: r.s for r in df.select("id", similarity.similarity(query, F.col("t"), max_chars=10**6).alias("s")).collect()}
     got = {r.id: r.score for r in similarity.scores(df, "id", "t", query).collect()}
