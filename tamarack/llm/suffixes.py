@@ -48,8 +48,8 @@ PART_BYTES = 4 << 20
 MOST_RANGES = 4096
 #: Sampled suffixes for each splitter.
 SAMPLED = 32
-#: Runs or stretches that a task holds before it reduces and sends them.
-FLUSH = 500_000
+#: Runs or stretches that a task holds before it reduces and sends them, and of which bytes are gathered at once.
+FLUSH, GATHERED = 250_000, 20_000
 
 _U = np.uint64
 RUNS, STRETCHES, ANNOUNCED, PASS = 0, 1, 2, 3
@@ -109,7 +109,7 @@ class Runs:
         return self.ids[self.doc]
 
     def take(self, rows: np.ndarray) -> Runs:
-        return Runs(self.length, self.ids, self.uids, self.doc[rows], self.start[rows], self.n[rows], self.off[rows], self.data[_stretches(self.begins[rows], self.sizes[rows])])
+        return Runs(self.length, self.ids, self.uids, self.doc[rows], self.start[rows], self.n[rows], self.off[rows], _gathered(self.data, self.begins[rows], self.sizes[rows]))
 
     def tokens(self, token: int) -> np.ndarray:
         """The leading tokens of the suffixes."""
@@ -129,15 +129,30 @@ class Runs:
         """Each stretch as a run of its own."""
         rows = np.repeat(np.arange(len(self.n)), self.n)
         step = np.arange(len(rows)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
-        data = self.data[_stretches(self.begins[rows] + step, np.full(len(rows), self.length))]
+        data = _gathered(self.data, self.begins[rows] + step, np.full(len(rows), self.length))
         one, zero = np.ones(len(rows), np.int64), np.zeros(len(rows), np.int64)
         return Runs(self.length, self.ids, self.uids, self.doc[rows], self.start[rows] + step, one, zero, data)
 
 
-def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Places starts[i] ... starts[i] + sizes[i] - 1, one after the other."""
-    total = int(sizes.sum())
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """data[starts[i] : starts[i] + sizes[i]], one after the other, with places for some thousand of them at a time."""
+    out = np.empty(int(sizes.sum()), np.uint8)
+    done = 0
+    for at in range(0, len(starts), GATHERED):
+        first, size = starts[at : at + GATHERED], sizes[at : at + GATHERED]
+        total = int(size.sum())
+        places = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(total)
+        out[done : done + total] = data[places]
+        done += total
+    return out
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each data[starts[i] : starts[i] + size]."""
+    h = np.full(len(starts), size, _U)
+    for k in range(0, size, 8):
+        h = packs.mix(h ^ eight(data, starts + k, starts + size))
+    return h
 
 
 def _first_owners(owners: np.ndarray, order: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -278,9 +293,7 @@ def _deal(length: int, token: int, n_parts: int, starts: np.ndarray, wide: np.nd
         runs = runs.take(rest)
         tokens = runs.tokens(token)
         is_wide = np.isin(tokens, wide)
-        h = packs.Hashed(packs.byte_symbols(runs.data))
-        at = runs.begins + runs.off
-        to = np.searchsorted(starts, tokens, "right") * subs + _by_key(h.of(at, at + token), subs)
+        to = np.searchsorted(starts, tokens, "right") * subs + _by_key(_hashes(runs.data, runs.begins + runs.off, token), subs)
         narrow = np.nonzero(~is_wide)[0]
         yield from emit(RUNS, runs.take(narrow), to[narrow])
         if is_wide.any():
@@ -288,8 +301,7 @@ def _deal(length: int, token: int, n_parts: int, starts: np.ndarray, wide: np.nd
             matched, rest = _reduced(each)
             yield from matches(each, matched)
             each = each.take(rest)
-            h = packs.Hashed(packs.byte_symbols(each.data))
-            yield from emit(STRETCHES, each, n_ranges * subs + _by_key(h.of(each.begins, each.ends), n_ranges * subs))
+            yield from emit(STRETCHES, each, n_ranges * subs + _by_key(_hashes(each.data, each.begins, length), n_ranges * subs))
 
     def run(key, texts: pa.Table, places: pa.Table) -> pa.Table:
         wanted = packs._by_document(places.column("blob")) if places.num_rows else {}
@@ -305,7 +317,7 @@ def _deal(length: int, token: int, n_parts: int, starts: np.ndarray, wide: np.nd
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 for a in range(0, len(start), FLUSH):
                     s, m = start[a : a + FLUSH], n[a : a + FLUSH]
-                    held.append((doc.as_py(), uid.as_py(), s, m, off[a : a + FLUSH], data[_stretches(s, m + length - 1)]))
+                    held.append((doc.as_py(), uid.as_py(), s, m, off[a : a + FLUSH], _gathered(data, s, m + length - 1)))
                     size += len(s)
                     if size >= FLUSH:
                         rows += flush(held)
