@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import decontamination, fingerprints, fixity, langid, licenses, mixing, secrets, simhash, substrings, suffixes
+from tamarack.llm import centroids, decontamination, fingerprints, fixity, langid, licenses, mixing, secrets, simhash, substrings, suffixes
 from tamarack.llm._shared import WORD, documents
 
 
@@ -45,6 +45,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(documents(spark, sf_dir))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def _damaged(pages: DataFrame) -> DataFrame:
     """A replica of pages with damage: some records are lost, some begin otherwise and are longer, so that later offsets move."""
     place = F.pmod(F.col("page_id") * 7919, F.lit(9797))
@@ -62,7 +66,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(licenses.document_paths(documents(spark, sf_dir)))
 
 
-QUERIES = {"op6_fixity": op6_fixity, "op8_licenses": op8_licenses, "op4_fingerprints": op4_fingerprints, "op7_langid": op7_langid, "op2_substrings": op2_substrings, "op9_suffixes": op9_suffixes, "op3_simhash": op3_simhash, "op10_secrets": op10_secrets, "op1_decontamination": op1_decontamination, "op5_mixing": op5_mixing}
+QUERIES = {"op6_fixity": op6_fixity, "op8_licenses": op8_licenses, "op4_fingerprints": op4_fingerprints, "op7_langid": op7_langid, "op2_substrings": op2_substrings, "op9_suffixes": op9_suffixes, "op3_simhash": op3_simhash, "op10_secrets": op10_secrets, "op1_decontamination": op1_decontamination, "op5_mixing": op5_mixing, "op11_centroids": op11_centroids}
 
 _REPEATS_SQL = """
 flagged AS (
@@ -79,7 +83,31 @@ SELECT d.doc_id, coalesce(d.n, 0)::BIGINT AS n_words, coalesce(t.n_removed, 0)::
 FROM d LEFT JOIN told t USING (doc_id)
 """
 
+_ASSIGN_SQL = """
+near{r} AS (
+  SELECT rid, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance
+  FROM (SELECT k.rid, c.cluster, list_sum([(k.v[i] - c.v[i]) * (k.v[i] - c.v[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM kept k, cent{r} c) GROUP BY rid)"""
+_MOVE_SQL = """
+cent{s} AS (
+  SELECT cluster, coalesce(m.v, c.v) AS v FROM cent{r} c LEFT JOIN (
+    SELECT cluster, list(((t - ((t % n) + n) % n) // n)::BIGINT ORDER BY i) AS v
+    FROM (SELECT n.cluster, i, sum(k.v[i]) AS t, count(*) AS n FROM near{r} n JOIN kept k USING (rid), range(1, 65) j(i) GROUP BY n.cluster, i) GROUP BY cluster) m
+  USING (cluster))"""
+_ROUNDS_SQL = ",".join(_ASSIGN_SQL.format(r=r) + "," + _MOVE_SQL.format(r=r, s=r + 1) for r in range(centroids.ROUNDS)) + "," + _ASSIGN_SQL.format(r=centroids.ROUNDS)
+
 ORACLE_SQL = {
+    "op11_centroids": rf"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = 64 AND list_bool_and([coalesce(isfinite(x), false) FOR x IN embedding])),
+cent0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v
+  FROM (SELECT sha256('{centroids.SEED}:' || vec_id) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {centroids.CENTROIDS})),
+{_ROUNDS_SQL}
+SELECT k.vec_id, n.cluster::INT AS cluster, n.distance, sum(n.distance) OVER (PARTITION BY n.cluster)::BIGINT AS cluster_inertia, sum(n.distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM near{centroids.ROUNDS} n JOIN kept k USING (rid) JOIN cent{centroids.ROUNDS} c USING (cluster)
+""",
     "op2_substrings": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n FROM documents),
 symbols AS (SELECT doc_id, n, unnest(ws) AS x, unnest(range(1, n + 1)) AS i FROM d),
