@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import centroids, decontamination, fingerprints, fixity, langid, licenses, mixing, secrets, simhash, substrings, suffixes
+from tamarack.llm import centroids, decontamination, filter_audit, fingerprints, fixity, langid, licenses, mixing, secrets, simhash, substrings, suffixes
 from tamarack.llm._shared import WORD, documents
 
 
@@ -49,6 +49,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def _damaged(pages: DataFrame) -> DataFrame:
     """A replica of pages with damage: some records are lost, some begin otherwise and are longer, so that later offsets move."""
     place = F.pmod(F.col("page_id") * 7919, F.lit(9797))
@@ -66,7 +70,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(licenses.document_paths(documents(spark, sf_dir)))
 
 
-QUERIES = {"op6_fixity": op6_fixity, "op8_licenses": op8_licenses, "op4_fingerprints": op4_fingerprints, "op7_langid": op7_langid, "op2_substrings": op2_substrings, "op9_suffixes": op9_suffixes, "op3_simhash": op3_simhash, "op10_secrets": op10_secrets, "op1_decontamination": op1_decontamination, "op5_mixing": op5_mixing, "op11_centroids": op11_centroids}
+QUERIES = {"op6_fixity": op6_fixity, "op8_licenses": op8_licenses, "op4_fingerprints": op4_fingerprints, "op7_langid": op7_langid, "op2_substrings": op2_substrings, "op9_suffixes": op9_suffixes, "op3_simhash": op3_simhash, "op10_secrets": op10_secrets, "op1_decontamination": op1_decontamination, "op5_mixing": op5_mixing, "op11_centroids": op11_centroids, "op13_filter_audit": op13_filter_audit}
 
 _REPEATS_SQL = """
 flagged AS (
@@ -96,6 +100,39 @@ cent{s} AS (
 _ROUNDS_SQL = ",".join(_ASSIGN_SQL.format(r=r) + "," + _MOVE_SQL.format(r=r, s=r + 1) for r in range(centroids.ROUNDS)) + "," + _ASSIGN_SQL.format(r=centroids.ROUNDS)
 
 ORACLE_SQL = {
+    "op13_filter_audit": rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+told AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         {{A: len(w) < 200, B: 100 * len(list_distinct(w)) < 50 * len(w), C: 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t),
+           D: regexp_matches(t, '[#$%&*|]'), E: coalesce(d.doc_id > least, false)}} AS fails
+  FROM d JOIN firsts USING (t) LEFT JOIN told ON d.doc_id = told.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+sets AS (
+  SELECT part, [l FOR l IN ['A', 'B', 'C', 'D', 'E'] IF CASE l WHEN 'A' THEN fails.A WHEN 'B' THEN fails.B WHEN 'C' THEN fails.C WHEN 'D' THEN fails.D ELSE fails.E END] AS failing,
+         count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM f GROUP BY ALL),
+seen AS (
+  SELECT part, o AS filter_order, step, failing, n, good, toxic, o[step] AS l, len([x FOR x IN failing IF instr(o, x) < step]) > 0 AS gone
+  FROM sets, orders, range(1, 6) s(step)),
+counts AS (
+  SELECT part, filter_order, step, l,
+         coalesce(sum(n) FILTER (NOT gone AND NOT list_contains(failing, l)), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND list_contains(failing, l)), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone AND list_contains(failing, l)), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (failing = [l]), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (NOT gone AND list_contains(failing, l)), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (NOT gone AND list_contains(failing, l)), 0)::BIGINT AS toxic_lost
+  FROM seen GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, l)::BIGINT AS shapley
+FROM counts
+""",
     "op11_centroids": rf"""
 WITH kept AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
