@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import centroids, decontamination, filter_audit, fingerprints, fixity, langid, licenses, mixing, secrets, simhash, substrings, suffixes
+from tamarack.llm import centroids, decontamination, filter_audit, fingerprints, fixity, langid, licenses, mixing, pii, secrets, simhash, substrings, suffixes
 from tamarack.llm._shared import WORD, documents
 
 
@@ -49,6 +49,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(documents(spark, sf_dir))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -70,7 +74,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(licenses.document_paths(documents(spark, sf_dir)))
 
 
-QUERIES = {"op6_fixity": op6_fixity, "op8_licenses": op8_licenses, "op4_fingerprints": op4_fingerprints, "op7_langid": op7_langid, "op2_substrings": op2_substrings, "op9_suffixes": op9_suffixes, "op3_simhash": op3_simhash, "op10_secrets": op10_secrets, "op1_decontamination": op1_decontamination, "op5_mixing": op5_mixing, "op11_centroids": op11_centroids, "op13_filter_audit": op13_filter_audit}
+QUERIES = {"op6_fixity": op6_fixity, "op8_licenses": op8_licenses, "op4_fingerprints": op4_fingerprints, "op7_langid": op7_langid, "op2_substrings": op2_substrings, "op9_suffixes": op9_suffixes, "op3_simhash": op3_simhash, "op10_secrets": op10_secrets, "op1_decontamination": op1_decontamination, "op5_mixing": op5_mixing, "op11_centroids": op11_centroids, "op12_pii": op12_pii, "op13_filter_audit": op13_filter_audit}
 
 _REPEATS_SQL = """
 flagged AS (
