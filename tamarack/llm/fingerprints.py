@@ -8,9 +8,13 @@ for its place, in 256ths of the text. Two fingerprints are matched by position:
 count that lie in the same order in both texts, their longest chain; likeness is its share of the bins that either fills. So it
 estimates the Jaccard index of the anchors for texts that run alike, and is less where passages are in another order.
 
+Few anchors tell little, so a text of fewer than SHORT code points has a second half: the same of its short anchors, all k-mers of SHORT_K bytes
+of the text with SHORT_K - 1 zero bytes put before it, which are as many as it has bytes (closed syncmers, as their only s-mers are the first and the last). Two texts that
+both have it are matched by it, any others by the first half, which every text has. An edit that keeps two thirds
+of a text's code points so never changes from one kind of anchors to the other without the old one.
+
 Defined results: an empty or null text has the fingerprint of zeros, like another such by 1 and any other
-text by 0; texts of fewer than SHORT bytes have shorter k-mers of their own; a text without a closed syncmer counts as one
-k-mer as a whole; an empty table gives an empty result; other columns are ignored. For neighbours() see there.
+text by 0; a text without a closed syncmer counts, in the first half, as one k-mer as a whole; an empty table gives an empty result; other columns are ignored. For neighbours() see there.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from tamarack.llm._repeats import Hashed, byte_symbols, mix
 from tamarack.llm._shared import partitions, text_bytes
 
 K, S = 12, 4
-#: Bytes below which a text has k-mers and s-mers of other lengths.
-SHORT, SHORT_K, SHORT_S = 64, 5, 2
+#: Code points below which a text has short anchors, too, and the lengths of their k-mers and s-mers.
+SHORT, SHORT_K, SHORT_S = 300, 5, 4
 BINS = 128
 #: Bytes that are fingerprinted together.
 CHUNK = 1 << 20
@@ -59,31 +63,48 @@ def syncmers(data: np.ndarray, bounds: np.ndarray, k: int = K, s: int = S) -> tu
     return text, at - bounds[text], h.of(at, at + k)
 
 
-def sketches(texts: list[bytes], k: int = K, s: int = S) -> np.ndarray:
-    """A row of 256 bytes for each text: 128 of hashes, 128 of places."""
+def _is_short(text: bytes) -> bool:
+    return 0 < len(text) < 4 * SHORT and len(text.decode("utf-8", "replace")) < SHORT
+
+
+def sketches(texts: list[bytes]) -> np.ndarray:
+    """A row of 512 bytes for each text: 128 of hashes and 128 of places of its anchors, then the same of the short ones, zeros if it has none."""
+    out = np.zeros((len(texts), 4 * BINS), np.uint8)
+    filled = [i for i, t in enumerate(texts) if t]
+    short = [i for i in filled if _is_short(texts[i])]
+    out[filled, : 2 * BINS] = _half([texts[i] for i in filled], K, S)
+    out[short, 2 * BINS :] = _half([bytes(SHORT_K - 1) + texts[i] for i in short], SHORT_K, SHORT_S)
+    return out
+
+
+def _half(texts: list[bytes], k: int, s: int) -> np.ndarray:
     out = np.zeros((len(texts), 2 * BINS), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
-    for chosen, kk, ss in ((np.nonzero(sizes >= SHORT)[0], k, s), (np.nonzero((sizes > 0) & (sizes < SHORT))[0], SHORT_K, SHORT_S)):
-        first = 0
-        while first < len(chosen):
-            last = first + 1
-            total = sizes[chosen[first]]
-            while last < len(chosen) and total + sizes[chosen[last]] <= CHUNK:
-                total += sizes[chosen[last]]
-                last += 1
-            rows = chosen[first:last]
-            text, place, hashes = _chunk([texts[i] for i in rows.tolist()], sizes[rows], kk, ss)
-            least = np.full(len(rows) * BINS, ~np.uint64(0), np.uint64)
-            packed = hashes >> np.uint64(16) << np.uint64(8) | (place * 256 // sizes[rows][text]).astype(np.uint64)
-            np.minimum.at(least, text * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64), packed)
-            filled = least != ~np.uint64(0)
-            own = np.where(filled, mix(least >> np.uint64(8)) % np.uint64(255) + np.uint64(1), np.uint64(0))
-            out[rows, :BINS] = own.astype(np.uint8).reshape(-1, BINS)
-            out[rows, BINS:] = np.where(filled, least & np.uint64(255), np.uint64(0)).astype(np.uint8).reshape(-1, BINS)
-            first = last
+    first = 0
+    while first < len(texts):
+        last = first + 1
+        total = sizes[first]
+        while last < len(texts) and total + sizes[last] <= CHUNK:
+            total += sizes[last]
+            last += 1
+        own = sizes[first:last]
+        text, place, hashes = _chunk(texts[first:last], own, k, s)
+        least = np.full(len(own) * BINS, ~np.uint64(0), np.uint64)
+        packed = hashes >> np.uint64(16) << np.uint64(8) | (place * 256 // own[text]).astype(np.uint64)
+        np.minimum.at(least, text * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64), packed)
+        held = least != ~np.uint64(0)
+        told = np.where(held, mix(least >> np.uint64(8)) % np.uint64(255) + np.uint64(1), np.uint64(0))
+        out[first:last, :BINS] = told.astype(np.uint8).reshape(-1, BINS)
+        out[first:last, BINS:] = np.where(held, least & np.uint64(255), np.uint64(0)).astype(np.uint8).reshape(-1, BINS)
+        first = last
     return out
 
 
+def printed(sketch: np.ndarray) -> str:
+    """A fingerprint as hex digits: 512, or 1024 of a text that has short anchors."""
+    return (sketch if sketch[2 * BINS :].any() else sketch[: 2 * BINS]).tobytes().hex()
+
+
 def _chunk(group: list[bytes], sizes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place, hash) of the anchors of texts."""
     if len(group) == 1 and sizes[0] > CHUNK:  # a very long text, in overlapping pieces
@@ -116,6 +137,12 @@ def _chain(places: list[int]) -> int:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of two sketches, row by row: by their short anchors where both have such, else by the others."""
+    short = (a[:, 2 * BINS :].any(axis=1) & b[:, 2 * BINS :].any(axis=1))[:, None]
+    return _matched(*(np.where(short, x[:, 2 * BINS :], x[:, : 2 * BINS]) for x in (a, b)))
+
+
+def _matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of the bins in the longest chain of equal ones among those that are filled, row by row; 1 where none is filled on either side."""
     hashes_a, hashes_b = a[:, :BINS], b[:, :BINS]
     n = ((hashes_a != 0) | (hashes_b != 0)).sum(axis=1)
@@ -184,8 +211,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
             pa.array(ids[:owns], pa.int64()),
             pa.array([len(t) for t in texts[:owns]], pa.int64()),
             pa.array([hashlib.sha256(t).hexdigest() for t in raw[1]]),
-            pa.array([m.tobytes().hex() for m in mine[:owns]]),
-            pa.array([m.tobytes().hex() for m in theirs]),
+            pa.array([printed(m) for m in mine[:owns]]),
+            pa.array([printed(m) for m in theirs]),
             pa.array(likeness(mine[:owns], theirs)),
             pa.array(likeness(mine[:owns], mine[following])),
         ]

@@ -46,8 +46,8 @@ def test_neighbours(spark, monkeypatch, range_bytes):
         new = text[: n - n // 3] + other[: n // 3]
         r = got[doc]
         assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(new.encode()).hexdigest())
-        assert r.fingerprint == fingerprints.sketches([text.encode()])[0].tobytes().hex()
-        assert r.edited_fingerprint == fingerprints.sketches([new.encode()])[0].tobytes().hex()
+        assert r.fingerprint == fingerprints.printed(fingerprints.sketches([text.encode()])[0])
+        assert r.edited_fingerprint == fingerprints.printed(fingerprints.sketches([new.encode()])[0])
         assert 0 <= r.near_edited <= 1 and r.near_next == fingerprints.likeness(*(fingerprints.sketches([t.encode()]) for t in (text, other)))[0]
 
 
@@ -61,14 +61,15 @@ def test_neighbour_edges(spark):
     assert fingerprints.neighbours(one.limit(0)).count() == 0
 
 
-def naive(text):
+def naive(text, short=False):
     """A fingerprint by loops over k-mers and their s-mers."""
 
     def hashed(piece):
         h = Hashed(byte_symbols(np.frombuffer(piece, np.uint8)))
         return int(h.of(np.array([0]), np.array([len(piece)]))[0])
 
-    k, s = (fingerprints.K, fingerprints.S) if len(text) >= fingerprints.SHORT else (fingerprints.SHORT_K, fingerprints.SHORT_S)
+    k, s = (fingerprints.SHORT_K, fingerprints.SHORT_S) if short else (fingerprints.K, fingerprints.S)
+    text = bytes(k - 1) + text if short else text
     bins = {}
     for at in range(len(text) - k + 1):
         inner = [hashed(text[at + i : at + i + s]) for i in range(k - s + 1)]
@@ -78,13 +79,15 @@ def naive(text):
     return {b: min(v)[1] for b, v in bins.items()}
 
 
-@pytest.mark.parametrize("n", [8, 40, 63, 64, 300, 1500])
+@pytest.mark.parametrize("n", [1, 8, 40, 63, 64, 299, 330, 1500])
 def test_sketch_agrees_with_loops(n):
     rng = random.Random(n)
     text = "".join(rng.choice("abcdef é") for _ in range(n)).encode()[:n]
-    row, expected = fingerprints.sketches([text])[0], naive(text)
-    assert set(np.nonzero(row[:128])[0].tolist()) == set(expected)
-    assert {b: int(row[128 + b]) for b in expected} == expected
+    row = fingerprints.sketches([text])[0]
+    for half, expected in ((row[:256], naive(text)), (row[256:], naive(text, True) if len(text.decode("utf-8", "replace")) < fingerprints.SHORT else {})):
+        if expected or half is row[256:]:
+            assert set(np.nonzero(half[:128])[0].tolist()) == set(expected)
+            assert {b: int(half[128 + b]) for b in expected} == expected
 
 
 def test_position_counts():
@@ -103,3 +106,20 @@ def test_short_texts_keep_some_likeness():
     new = [fingerprints.edited(t, o) for t, o in zip(texts, texts[1:] + texts[:1], strict=True)]
     near = fingerprints.likeness(*(fingerprints.sketches([t.encode() for t in x]) for x in (texts, new)))
     assert near.min() > 0 and near.mean() > 0.4
+
+
+def test_two_thirds_unchanged_are_near_one_half():
+    """For every length, and next texts of every length, also across the border of the short anchors."""
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnop é") for _ in range(n))
+    lengths = [*range(3, 200), *range(290, 310), *range(430, 460, 3), 700, 2000]
+    nexts = [0, 1, 2, 5, 13, 40, 63, 64, 65, 100, 150, 200, 299, 300, 900]
+    texts = [(make(n), make(m)) for n in lengths for m in nexts]
+    new = [fingerprints.edited(t, o) for t, o in texts]
+    mine, theirs, others = (fingerprints.sketches([t.encode() for t in x]) for x in ([t for t, _ in texts], new, [o for _, o in texts]))
+    near, apart = fingerprints.likeness(mine, theirs), fingerprints.likeness(mine, others)
+    assert near.min() > 0.2 and 0.45 < near.mean() < 0.65, (near.min(), near.mean())
+    assert apart.max() < 0.2 and apart.mean() < 0.01
+    kept = np.array([(len(t) - len(t) // 3) for t, _ in texts])
+    changed = np.array([min(len(t) // 3, len(o)) for t, o in texts])
+    assert np.abs(near - kept / (kept + np.array([len(t) // 3 for t, _ in texts]) + changed)).mean() < 0.06
