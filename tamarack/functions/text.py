@@ -46,13 +46,18 @@ def _pairs() -> Column:
     return F.expr(f"array({', '.join(each)})")
 
 
+def rewritable(text: Column) -> Column:
+    """The words of a text with which a phrase or number word of the lexicon may begin."""
+    heads = strings(sorted({alternative.split(r"\s")[0] for pattern, _ in _PAIRS for alternative in pattern.split("|")}))
+    return F.array_intersect(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), heads)
+
+
 def phrases_and_numbers(text: Column) -> Column:
     """Rewrite the romanised phrases and number words of the lexicon, whole words only, in any case.
 
     A text's words tell which patterns can match, mostly none; no replacement makes a word that another seeks.
     """
-    heads = strings(sorted({alternative.split(r"\s")[0] for pattern, _ in _PAIRS for alternative in pattern.split("|")}))
-    held = F.array_intersect(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), heads)
+    held = rewritable(text)
 
     def rewritten(words: Column) -> Column:
         useful = F.filter(_pairs(), lambda x: F.arrays_overlap(words, x["w"]))
@@ -63,7 +68,9 @@ def phrases_and_numbers(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Lower-case; keep letters, digits and + # . / -; one space for anything else."""
-    dashed = F.translate(F.lower(text), "—–", "--")
+    dashed = F.lower(text)
+    for dash in "—–":
+        dashed = F.replace(dashed, F.lit(dash), F.lit("-"))
     return F.trim(F.regexp_replace(dashed, r"[^\p{L}\p{N}+#./-]+", " "))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ("candidate_id", "rank", "score", "reasoning")
@@ -15,16 +15,36 @@ def _typed(ranked: DataFrame, *keep: str) -> DataFrame:
     return ranked.select(*keep, "candidate_id", kind("rank", "int").alias("rank"), F.when(~F.isnan(score), score).alias("score"), F.length(reason).alias("reason"))
 
 
+def with_previous(df: DataFrame, value: str, order: str, tie: str, by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+    """df with `before`: the value of the row before it by order and then tie, of rows that are alike in the by columns.
+
+    Rows are windowed by ranges of order, cut at quantiles, so that no task sorts the whole table; each range's first row gets the
+    last value of the range before it. Only the cuts come to the driver.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else None
+    cuts = sorted({float(c) for c in cuts or []})
+    listed = F.expr(f"array({', '.join(f'{c!r}D' for c in cuts)})") if cuts else F.expr("cast(array() AS array<double>)")
+    placed = df.withColumn("_range", F.size(F.filter(listed, lambda c: c <= F.col(order))))
+    within = Window.partitionBy(*by, "_range").orderBy(F.col(order).asc_nulls_first(), tie)
+    own = placed.withColumn("_lag", F.lag(F.struct(value)).over(within))
+    place = F.struct(order, tie)
+    last = placed.groupBy(*by, "_range").agg(F.max_by(F.struct(value), place).alias("_last"))  # a row for each range and value of by
+    carried = last.select(*by, "_range", F.lag("_last").over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_range")).alias("_carried"))
+    on = own["_range"] == carried["_range"]
+    for c in by:
+        on = on & own[c].eqNullSafe(carried[c])
+    joined = own.join(carried, on, "left").select(*[own[c] for c in df.columns], F.coalesce(own["_lag"], carried["_carried"])[value].alias("before"))
+    return joined
+
+
 def checks(ranked: DataFrame, *, least_reasoning: int = 40, by: str | None = None) -> DataFrame:
     """Counts of what a ranked table may have wrong, in one row, or one for each value of a column.
 
-    rises: rows whose score is above that of the rank before. Ranks are joined with the ranks before them, so that no
-    one task sorts the table.
+    rises: rows whose score is above that of the row before by rank, whatever ranks are missing between them; rows without a rank come first.
     """
     keep = [by] if by else []
-    df = _typed(ranked, *keep)
-    after = df.select(*keep, (F.col("rank") + 1).alias("rank"), F.col("score").alias("before"))
-    joined = df.join(after.groupBy(*keep, "rank").agg(F.min("before").alias("before")), [*keep, "rank"], "left")
+    joined = with_previous(_typed(ranked, *keep), "score", "rank", "candidate_id", tuple(keep))
     n = F.count(F.lit(1))
     head = F.when(F.col("rank") <= 10, F.col("score"))
     found = joined.groupBy(*keep).agg(

@@ -58,7 +58,8 @@ ITEM_CLEAN = f"SELECT list_filter(list_distinct({sql_words(cleaned('text'))}), l
 
 def _item_query(spark, sf_dir) -> queries.Query:
     """The first benchmark item as a query document."""
-    return queries.parse(table(spark, sf_dir, "benchmark").where("item_id = 0").first()["text"])
+    item = table(spark, sf_dir, "benchmark").where("item_id = 0").first()
+    return queries.parse(item["text"] if item else "")
 
 
 @query(f"""
@@ -95,9 +96,9 @@ p AS (SELECT doc_id, ' ' || c || ' ' AS p, len(regexp_extract_all(c, '{tx.TOKEN_
 SELECT doc_id, n::INT AS n_tokens, CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, ({_TOTAL}) / n) END AS density, {_NAMES} AS terms FROM p""")
 def phrase_density(spark, sf_dir):
     """Occurrences of phrases against the number of tokens, and which phrases occur."""
-    d = table(spark, sf_dir, "documents").select("doc_id", _squeezed().alias("c"))
+    d = tx.settled(table(spark, sf_dir, "documents").select("doc_id", "text"), {"c": _squeezed()})
     every = [t for terms in PHRASES.values() for t in terms]
-    d = d.select("doc_id", tx.padded(F.col("c")).alias("p"), F.size(tx.tokens(F.col("c"))).alias("n_tokens"), tx.found(F.col("c"), every).alias("held"))
+    d = tx.settled(d, {"p": tx.padded(F.col("c")), "n_tokens": F.size(tx.tokens(F.col("c"))), "held": tx.found(F.col("c"), every)})
     density = F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.least(F.lit(1.0), tx.phrase_counts(F.col("p"), F.col("held")) / F.col("n_tokens")))
     return d.select("doc_id", "n_tokens", density.alias("density"), F.array_join(F.transform(tx.named(F.col("held"), PHRASES), lambda x: F.concat(x, F.lit(";"))), "").alias("terms"))
 
@@ -132,8 +133,8 @@ u AS (SELECT doc_id, n_sentences, list_filter(hits, lambda x, i: list_position(l
 SELECT doc_id, n_sentences, coalesce(array_to_string(list_transform(hits[1:3], lambda x: trim(substr(x.s, 1, 240))), '#'), '') AS snippets FROM u""")
 def sentence_snippets(spark, sf_dir):
     """Sentences with a term in them, the first three that differ, cut to 240 characters."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"), evidence.pairs(F.col("text")).alias("found"))
-    return d.select("doc_id", "n_sentences", F.array_join(evidence.snippets(F.col("found"), tx.strings(["of"]), 3), "#").alias("snippets"))
+    d = tx.settled(table(spark, sf_dir, "documents").select("doc_id", "text"), {"found": evidence.pairs(F.col("text"))})
+    return d.select("doc_id", F.size("found").alias("n_sentences"), F.array_join(evidence.snippets(F.col("found"), tx.strings(["of"]), 3), "#").alias("snippets"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey::VARCHAR || chr(1114111) LIMIT 500")
