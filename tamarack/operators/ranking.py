@@ -15,7 +15,7 @@ from tamarack.operators import evidence, rules, scoring
 from tamarack.operators.query import Query, constraints
 
 #: Sorts an id that is a prefix of another after it, among equal scores.
-_LAST = "\U0010ffff"
+LAST = "\U0010ffff"
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ def light_scores(fingerprints: DataFrame, query: Query, s: Settings) -> DataFram
 
 def top(df: DataFrame, score: str, n: int) -> DataFrame:
     """The n best rows by a score; among equals the smaller id, but a longer one before its own prefix."""
-    return df.orderBy(F.desc(score), F.concat(F.col("candidate_id").cast("string"), F.lit(_LAST))).limit(n)
+    return df.orderBy(F.desc(score), F.concat(F.col("candidate_id").cast("string"), F.lit(LAST))).limit(n)
 
 
 def shortlist(fingerprints: DataFrame, query: Query, s: Settings) -> DataFrame:

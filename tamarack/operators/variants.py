@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions import lexicon as lx
@@ -45,7 +46,7 @@ def heads(fingerprints: DataFrame, query: Query, variants: dict[str, ranking.Set
     """The top rows of every variant: variant, candidate_id, rank, score and what metrics() reads.
 
     Variants differ in weights, risk and calibration alone, so components are worked out once: lightly for all rows,
-    kept as a narrow table, and deeply for the rows that are in some variant's pool. keywords names a ranking by token overlap.
+    all variants in one pass, and deeply for the rows that are in some variant's pool. keywords names a ranking by token overlap.
     """
     spark = fingerprints.sparkSession
     some = next(iter(variants.values()))
@@ -55,17 +56,8 @@ def heads(fingerprints: DataFrame, query: Query, variants: dict[str, ranking.Set
     light = scoring.weigh(light, some.weights)
     for k, name in enumerate(walls):
         light = rules.assess(light, by_name[name], deep=False, name=f"risk{k}")
-    # Narrow and read once for each variant; let go when the pools are known.
-    light = light.select("candidate_id", "parts", *[F.struct(f"risk{k}.penalty", f"risk{k}.disqualified").alias(f"risk{k}") for k in range(len(walls))]).persist()
-    pools = []
-    for name, s in variants.items():
-        one = scoring.weigh(light, s.weights)
-        if s.firewall:
-            one = scoring.with_risk(one.withColumn("risk", F.col(f"risk{walls.index(s.firewall.name)}")))
-        best = ranking.top(one, "score.calibrated_final_score", s.pool).select("candidate_id", F.col("score.final_score").alias("light_score"))
-        placed = ranking.numbered(best, "place", F.desc("light_score"), F.col("candidate_id"))
-        pools += [(name, r["candidate_id"], r["place"]) for r in placed.select("candidate_id", "place").collect()]  # a pool for each variant
-    light.unpersist()
+    light = light.select("candidate_id", "parts", *[F.struct(f"risk{k}.penalty", f"risk{k}.disqualified").alias(f"risk{k}") for k in range(len(walls))])
+    pools = [tuple(r) for r in pools_of(light, variants, walls).collect()]  # a pool for each variant
     places = spark.createDataFrame(pools, f"variant string, _id {fingerprints.schema['candidate_id'].dataType.simpleString()}, place int")
     wanted = fingerprints.join(F.broadcast(places.select(F.col("_id").alias("candidate_id")).distinct()), "candidate_id", "left_semi")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -83,6 +75,52 @@ def heads(fingerprints: DataFrame, query: Query, variants: dict[str, ranking.Set
     return spark.createDataFrame(found, tops.schema)
 
 
+#: Up to so many rows of a group, a task keeps only that many of each before they are shuffled.
+_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+@contextmanager
+def _kept_by_task(spark: SparkSession, n: int):
+    before = spark.conf.get(_LIMIT, None)
+    spark.conf.set(_LIMIT, max(n + 1, int(before or 0)))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_LIMIT) if before is None else spark.conf.set(_LIMIT, before)
+
+
+class _Pools:
+    """Pools of all variants, to be collected in one pass over the light components."""
+
+    def __init__(self, table: DataFrame, n: int):
+        self.table, self.n = table, n
+
+    def collect(self) -> list:
+        with _kept_by_task(self.table.sparkSession, self.n):
+            return self.table.collect()
+
+
+def pools_of(light: DataFrame, variants: dict[str, ranking.Settings], walls: list[str]) -> _Pools:
+    """variant, candidate_id, place of the rows in each variant's pool.
+
+    light: candidate_id, parts, and a struct risk0, risk1 ... for each of the walls. Every row has its scores under all variants at once; then each
+    task keeps the best rows of each variant, and only those meet.
+    """
+    scored, rows = light, []
+    for k, (name, s) in enumerate(variants.items()):
+        scored = scoring.weigh(scored, s.weights)
+        if s.firewall:
+            scored = scoring.with_risk(scored.withColumn("risk", F.col(f"risk{walls.index(s.firewall.name)}")))
+        scored = scored.withColumn(f"_v{k}", F.struct(F.col("score.calibrated_final_score").alias("by"), F.col("score.final_score").alias("light_score"))).drop("score", "risk")
+        rows.append(F.struct(F.lit(name).alias("variant"), F.lit(s.pool).alias("pool"), F.col(f"_v{k}.by").alias("by"), F.col(f"_v{k}.light_score").alias("light_score")))
+    most = max(s.pool for s in variants.values())
+    each = scored.select("candidate_id", F.explode(F.array(*rows)).alias("r")).select("candidate_id", "r.*")
+    best = Window.partitionBy("variant").orderBy(F.desc("by"), F.concat(F.col("candidate_id").cast("string"), F.lit(ranking.LAST)))
+    held = each.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).where(F.col("_n") <= F.col("pool"))
+    place = F.row_number().over(Window.partitionBy("variant").orderBy(F.desc("light_score"), "candidate_id"))
+    return _Pools(held.select("variant", "candidate_id", place.alias("place")), most)
+
+
 def _shown(ranked: DataFrame) -> DataFrame:
     of = lambda struct, field, kind: F.col(f"{struct}.{field}") if struct in ranked.columns else F.lit(None).cast(kind)
     return ranked.select(

@@ -133,7 +133,7 @@ u AS (SELECT doc_id, n_sentences, list_filter(hits, lambda x, i: list_position(l
 SELECT doc_id, n_sentences, coalesce(array_to_string(list_transform(hits[1:3], lambda x: trim(substr(x.s, 1, 240))), '#'), '') AS snippets FROM u""")
 def sentence_snippets(spark, sf_dir):
     """Sentences with a term in them, the first three that differ, cut to 240 characters."""
-    d = tx.settled(table(spark, sf_dir, "documents").select("doc_id", "text"), {"found": evidence.pairs(F.col("text"))})
+    d = tx.settled(table(spark, sf_dir, "documents").select("doc_id", "text"), {"found": evidence.pairs(F.col("text"), sought=tx.strings(["of"]))})
     return d.select("doc_id", F.size("found").alias("n_sentences"), F.array_join(evidence.snippets(F.col("found"), tx.strings(["of"]), 3), "#").alias("snippets"))
 
 

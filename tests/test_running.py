@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack.operators import ranking, reports, validators
+from tamarack.operators import ranking, reports, rules, scoring, validators, variants
 from tamarack.sources import readers
 from tamarack.streaming.top import RunningTop
 
@@ -95,3 +95,29 @@ def test_numbers_by_a_table_of_offsets(spark):
     assert [r.row_number for r in numbered.orderBy("id").collect()] == list(range(1, df.count() + 1))
     small = len(readers.with_row_number(spark.range(0, 10, 1, 2))._jdf.queryExecution().analyzed().toString())
     assert len(readers.with_row_number(spark.range(0, 10, 1, 3000))._jdf.queryExecution().analyzed().toString()) < 1.05 * small
+
+
+def test_pools_of_all_variants_in_one_pass(spark):
+    """As each variant's own top-N, with ties, and with pools larger than Spark's own limit for keeping rows by task."""
+    rng = random.Random(6)
+    parts = "struct<jd_relevance:double,must_have_skill:double,proof_alignment:double,retrieval_evaluation_depth:double,production_readiness:double,hireability:double,cost:double,lexical:double,alike:double,matched:array<string>,lacking:array<string>,neutral:boolean>"
+    rows = [(f"id{i % 2000}", (*[rng.randint(0, 4) / 4 for _ in range(6)], 0.1 * rng.randint(0, 1), 0.5, 0.5, [], [], False), (rng.randint(0, 3) / 10, rng.random() < 0.1)) for i in range(2500)]
+    light = spark.createDataFrame(rows, f"candidate_id string, parts {parts}, risk0 struct<penalty:double,disqualified:boolean>").repartition(5)
+    wall = rules.Firewall()
+    some = {"plain": ranking.Settings(strict_pool=50, top_k=10), "risky": ranking.Settings(firewall=wall, risk_pool=1500, strict_pool=20), "heavy": ranking.Settings(weights={"hireability": 0.9}, strict_pool=300)}
+    got = {}
+    for variant, _, place in variants.pools_of(light, some, [wall.name]).collect():
+        got.setdefault(variant, []).append(place)
+    pools = {(v, i) for v, i, _ in variants.pools_of(light, some, [wall.name]).collect()}
+    for name, s in some.items():
+        one = scoring.weigh(light, s.weights)
+        one = scoring.with_risk(one.withColumn("risk", F.col("risk0"))) if s.firewall else one
+        own = ranking.top(one, "score.calibrated_final_score", s.pool).select("candidate_id").collect()
+        assert sorted(got[name]) == list(range(1, s.pool + 1)) and {(name, r[0]) for r in own} == {p for p in pools if p[0] == name}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with variants._kept_by_task(spark, 1500):
+            plan = variants.pools_of(light, some, [wall.name]).table._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "WindowGroupLimit" in plan and "Partial" in plan
