@@ -13,10 +13,12 @@ import time
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tamarack import config as settings_file
+from tamarack.memory import Sampler
 from tamarack.operators import benchmark, features, query, ranking, reports, rules, validators, variants
-from tamarack.sources import readers
+from tamarack.sources import loose, readers
 
 FINGERPRINTS = "fingerprints.parquet"
 #: Rows that a runtime is projected to.
@@ -40,6 +42,13 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int, help="valid records to read")
     p.add_argument("--risk", action=argparse.BooleanOptionalAction, default=None, help="risk rules, over what the config says")
     p.add_argument("--calibrate", action=argparse.BooleanOptionalAction, default=None)
+    p.add_argument("--strict-pool", type=int, help="rows that the strict pass reworks")
+    p.add_argument("--strict-top-n", type=int, help="safe rows that come before all others")
+    p.add_argument("--risk-pool", type=int, help="rows that the deep risk rules see")
+    p.add_argument("--calibration-pool", type=int, help="rows that are calibrated")
+    p.add_argument("--top-n", type=int, help="cards of explain, 10 by default")
+    p.add_argument("--batch-rows", type=int, help="rows that are read from Parquet at a time")
+    p.add_argument("--loose", action="store_true", help="walk each record by itself, without a schema of all")
     p.add_argument("--master", help="the Spark master, where none is set")
     return p
 
@@ -69,7 +78,8 @@ class Run:
         return query.parse((text["value"] if text else "").lstrip("\ufeff"))
 
     def settings(self, **changes) -> ranking.Settings:
-        return settings_file.settings(self.config, top_k=self.args.top_k, risk=changes.get("risk", self.args.risk), calibrate=changes.get("calibrate", self.args.calibrate))
+        own = {k: getattr(self.args, k) for k in ("top_k", "risk", "calibrate", "strict_pool", "strict_top_n", "risk_pool", "calibration_pool")}
+        return settings_file.settings(self.config, **(own | changes))
 
     def write(self, name: str, value) -> None:
         reports.write_json(self.spark, f"{self.args.output}/{name}.json", value)
@@ -80,8 +90,14 @@ class Run:
 
 def profile(run: Run) -> int:
     path = run.need(run.args.input, "the input")
-    records = readers.read_records(run.spark, path, run.args.limit)
-    schema = readers.inspect_schema(records, path)
+    if run.args.batch_rows:
+        run.spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", run.args.batch_rows)
+    if run.args.loose:
+        records = loose.read_records(run.spark, path, run.args.limit)
+        schema = {"total_records": records.count(), "paths": loose.inspect(records).collect(), "format": readers.detect_format(path), "malformed": readers.count_errors(run.spark, path)}
+    else:
+        records = readers.read_records(run.spark, path, run.args.limit)
+        schema = readers.inspect_schema(records, path)
     most = int(run.config.get("max_text_length_per_candidate", features.MAX_TEXT))
     summary = reports.write_fingerprints(features.fingerprints(records, max_text=most), run.store)
     run.write("schema_report", schema)
@@ -113,6 +129,18 @@ def profile_and_rank(run: Run) -> int:
     return profile(run) or rank(run)
 
 
+def demo(run: Run) -> int:
+    """Profiles and ranks an input with all stages on, in the output folder's demo, and prints the first rows."""
+    run.args.output = f"{run.args.output}/demo"
+    run.store = f"{run.args.output}/{FINGERPRINTS}"
+    run.args.risk = run.args.calibrate = True
+    run.args.top_k = run.args.top_k or 5
+    code = profile_and_rank(run)
+    for row in run.table("ranked").orderBy(F.col("rank").cast("int")).limit(5).collect():
+        print(f"{row['rank']}. {row['candidate_id']}: {float(row['score']):.4f}")
+    return code
+
+
 def audit(run: Run) -> int:
     reports.write_audit(reports.audit(run.fingerprints(), settings_file.firewall(run.config)), run.args.output)
     return 0
@@ -161,24 +189,24 @@ def profile_runtime(run: Run) -> int:
     """Times a ranking of stored fingerprints, and projects it."""
     fingerprints, wanted, s = run.fingerprints(), run.query(), run.settings(risk=True, calibrate=True)
     n, began = fingerprints.count(), time.perf_counter()
-    ranking.rank_profiles(fingerprints, wanted, s).write.format("noop").mode("overwrite").save()
+    with Sampler(run.spark) as memory:
+        ranking.rank_profiles(fingerprints, wanted, s).write.format("noop").mode("overwrite").save()
     seconds = time.perf_counter() - began
     projected = seconds * PROJECTED / n if n else None
     most = float((run.config.get("runtime_profile") or {}).get("warn_if_projected_ranking_seconds_above", 300))
     warnings = [f"{PROJECTED} rows are projected to take more than {most:.0f} s"] if projected and projected > most else []
-    memory = run.spark._jvm.java.lang.Runtime.getRuntime()
     run.write("runtime_profile", {
         "rows": n, "ranking_seconds": round(seconds, 4), "rows_a_second": round(n / seconds, 1), f"projected_seconds_{PROJECTED}": projected and round(projected, 2), "warnings": warnings,
-        "driver_memory_mb": round((memory.totalMemory() - memory.freeMemory()) / 2**20, 1), "master": run.spark.sparkContext.master, "spark": run.spark.version, "python": sys.version.split()[0],
+        "peak_memory": memory.peaks(), "master": run.spark.sparkContext.master, "spark": run.spark.version, "python": sys.version.split()[0],
     })
     return 0
 
 
 def explain(run: Run) -> int:
     proofs = run.spark.read.json(run.need(f"{run.args.output}/proofs", "the proofs"))
-    cards = reports.explanation_cards(run.table("ranked"), run.table("breakdown"), proofs, run.args.top_k or 10).orderBy("rank").collect()
+    cards = reports.explanation_cards(run.table("ranked"), run.table("breakdown"), proofs, run.args.top_n or 10).orderBy("rank").collect()
     run.write("explanation_cards", cards)
-    reports.write_text(run.spark, f"{run.args.output}/explanation_cards.md", "\n\n".join(c["markdown"] for c in cards) + "\n")
+    reports.write_text(run.spark, f"{run.args.output}/explanation_cards.md", "\n\n".join(c["card"] for c in cards) + "\n")
     return 0
 
 
@@ -211,7 +239,7 @@ def package(run: Run) -> int:
 
 
 MODES = {
-    "profile": profile, "rank": rank, "profile-and-rank": profile_and_rank, "audit": audit, "ablation": ablation, "sensitivity": sensitivity, "validate": validate, "benchmark": check_cases,
+    "profile": profile, "rank": rank, "profile-and-rank": profile_and_rank, "demo": demo, "audit": audit, "ablation": ablation, "sensitivity": sensitivity, "validate": validate, "benchmark": check_cases,
     "profile-runtime": profile_runtime, "explain": explain, "digest": digest, "package": package,
 }
 

@@ -78,7 +78,10 @@ def firewall(config: dict) -> rules.Firewall:
     )
 
 
-def settings(config: dict, *, top_k: int | None = None, risk: bool | None = None, calibrate: bool | None = None) -> ranking.Settings:
+def settings(
+    config: dict, *, top_k: int | None = None, risk: bool | None = None, calibrate: bool | None = None,
+    strict_pool: int | None = None, strict_top_n: int | None = None, risk_pool: int | None = None, calibration_pool: int | None = None,
+) -> ranking.Settings:
     """The settings of a ranking; arguments that aren't None overrule the file."""
     own, wall, tune = (config.get(k) or {} for k in ("ranking", "honeypot_firewall", "evidence_calibration"))
     base = ranking.Settings()
@@ -87,12 +90,12 @@ def settings(config: dict, *, top_k: int | None = None, risk: bool | None = None
     year = (config.get("reproducibility") or {}).get("reference_year")
     return ranking.Settings(
         top_k=int(top_k or own.get("top_k", base.top_k)),
-        strict_pool=int(own.get("strict_rerank_pool_size", base.strict_pool)),
+        strict_pool=int(strict_pool or own.get("strict_rerank_pool_size", base.strict_pool)),
         firewall=firewall(config) if risk else None,
-        strict_top_n=int(wall.get("strict_top_n", base.strict_top_n)),
-        risk_pool=int(wall.get("risk_rerank_pool_size", base.risk_pool)),
+        strict_top_n=int(wall.get("strict_top_n", base.strict_top_n) if strict_top_n is None else strict_top_n),
+        risk_pool=int(risk_pool or wall.get("risk_rerank_pool_size", base.risk_pool)),
         calibration={**tune, **({"reference_year": year} if year else {})} if calibrate else None,
-        calibration_pool=int(tune.get("calibration_pool_size", base.calibration_pool)),
+        calibration_pool=int(calibration_pool or tune.get("calibration_pool_size", base.calibration_pool)),
         weights=own.get("score_weights") or {},
         penalties=own.get("penalties") or {},
         semantic=config.get("semantic_matching"),

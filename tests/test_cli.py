@@ -46,11 +46,18 @@ def test_modes_in_turn(spark, folder, capsys):
     assert run(spark, folder, "audit") == run(spark, folder, "explain") == run(spark, folder, "benchmark", "--cases", f"{folder}/cases.jsonl") == 0
     assert (out / "explanation_cards.md").read_text().startswith("## 1. STRONG")
     assert run(spark, folder, "profile-runtime") == run(spark, folder, "ablation") == 0
-    assert json.loads((out / "runtime_profile.json").read_text())["rows"] == 8
+    runtime = json.loads((out / "runtime_profile.json").read_text())
+    assert runtime["rows"] == 8 and runtime["peak_memory"]["driver_heap_mb"] > 0 and runtime["peak_memory"]["samples"] >= 2
+    card = (out / "explanation_cards.md").read_text()
+    assert "**Strengths**" in card and "Risk level: low." in card and "| Proof alignment | " in card
     assert set(json.loads((out / "ablation.json").read_text())) == {"keyword_only", "baseline", "plus_firewall", "plus_firewall_plus_calibration"}
     assert run(spark, folder, "rank", "--top-k", "3", "--no-risk", "--no-calibrate") == 0
     assert run(spark, folder, "validate") == 1  # three rows where the settings want five
     capsys.readouterr()
+    assert run(spark, folder, "demo", "--input", f"{folder}/people.jsonl", "--loose", "--top-k", "3", "--risk-pool", "6", "--calibration-pool", "4", "--strict-top-n", "1") == 0
+    told = capsys.readouterr().out
+    assert told.startswith("valid\n1. STRONG: ") and "\n3. " in told and "\n4. " not in told
+    assert {p["path"] for p in json.loads((out / "demo" / "schema_report.json").read_text())["paths"]} >= {"candidate_id", "career_history.description", "signals.open_to_work_flag"}
     assert run(spark, folder, "digest") == 0
     assert "content_sha256" in capsys.readouterr().out
     assert run(spark, folder, "package") == 0

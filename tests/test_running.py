@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack.operators import ranking, reports, rules, scoring, validators, variants
+from tamarack.operators import features, ranking, reports, rules, scoring, validators, variants
 from tamarack.sources import readers
 from tamarack.streaming.top import RunningTop
 
@@ -121,3 +121,31 @@ def test_pools_of_all_variants_in_one_pass(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_cards_tell_strengths_and_risks(spark):
+    ranked = spark.createDataFrame([("A", 1, "0.9", "why"), ("B", 2, "0.7", "so")], "candidate_id string, rank int, score string, reasoning string")
+    known = [("A", "0.5", "1.0", "0.2", "0.75", "0.7", "high", "weak_proof_alignment|buzzword_stuffing", "0.05", "0"), ("B", "0.5", "0", "x", None, "0.35", None, "", None, "0.1")]
+    names = ("candidate_id", "final_score", "retrieval_ranking_evidence_score", "production_evidence_score", "evidence_confidence_score", "calibrated_hireability_score", "risk_level", "risk_flags", "penalty_score", "calibration_penalty")
+    proofs = spark.createDataFrame([("A", ["Python", "SQL"], ["did it"])], "candidate_id string, supported_skills array<string>, snippets array<string>")
+    got = {r.candidate_id: r for r in reports.explanation_cards(ranked, spark.createDataFrame(known, " string, ".join(names) + " string"), proofs).collect()}
+    a, b = got["A"], got["B"]
+    assert a.strengths == ["Career evidence for Python, SQL.", "Retrieval or ranking work is well borne out.", "Confidence in the evidence is above the middle."]
+    assert a.risk_notes == ["Risk level: high.", "Flags: weak proof alignment, buzzword stuffing.", "Profile penalty: 0.050."]
+    assert a.hireability_notes[0].endswith("interview.") and b.hireability_notes == ["Behaviour or availability is weak.", "Hireability: 0.350."]
+    assert b.strengths == ["The query is matched in part; little is borne out."] and b.risk_notes == ["Risk level: low.", "Calibration penalty: 0.100."]
+    assert "- did it" in a.card and "| Retrieval and ranking | 1.000 |" in a.card and "- No snippet." in b.card and a.scores["Production"] == 0.2
+
+
+def test_summary_is_observed_while_writing(spark, tmp_path):
+    from tests.test_engine import PEOPLE, SCHEMA
+
+    fp = features.fingerprints(spark.createDataFrame(PEOPLE, SCHEMA))
+    got = reports.write_fingerprints(fp, str(tmp_path / "fp"))
+    stored = spark.read.parquet(str(tmp_path / "fp"))
+    row = reports.profile_summary(stored).first().asDict()
+    assert {k: got[k] for k in row} == row
+    for name, column in (("top_missing_fields", "missing_fields"), ("top_anomaly_flags", "anomaly_flags")):
+        assert list(got[name].items()) == [(r.value, r.n) for r in reports.histogram(stored, column, 15).collect()]
+    none = reports.write_fingerprints(features.fingerprints(spark.createDataFrame([], SCHEMA)), str(tmp_path / "none"))
+    assert none["n"] == 0 and none["top_missing_fields"] == {} and none["warning"] is None
