@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.llm import _spans
 from tamarack.llm._shared import cut, let
 
 # The base patterns and the least lengths of what they match.
@@ -47,41 +48,16 @@ WORST_BIN = 12
 FALSE_DISCOVERIES = 0.05
 #: Plain words that count as seen in each class beside the corpus' own, none of them random, so that few words don't blind the rule.
 PRIOR_WORDS = 100
-#: Matches of a text that are gathered together.
-CHUNK = 256
 MASK = "[REDACTED]"
 
-_MARK, _OTHER = "\x01", "\x02"
 _HEX, _B32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _SPAN = "struct<start:int,end:int>"
 
 
-def _parts(text, pattern: str) -> F.Column:
-    """The text cut at its matches: what is before, match, what is between, match, ... what is after."""
-    return F.split(F.regexp_replace(text, F.lit(f"(?:{pattern})"), F.lit(f"{_MARK}$0{_MARK}")), F.lit(_MARK), -1)
-
-
-def _matches(parts, keep) -> F.Column:
-    """(start, end, token) of the matches that keep(token) holds for.
-
-    Matches are gathered CHUNK at a time, so that a text with very many isn't copied once for each.
-    """
-    empty = F.array().cast("array<struct<start:int,end:int,token:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast("array<array<struct<start:int,end:int,token:string>>>").alias("full"), empty.alias("out"))
-
-    def step(acc, part):
-        end = (acc["at"] + F.length(part)).cast("int")
-        one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("token")))
-        whole = F.size(acc["out"]) >= CHUNK
-        full = F.when(whole, F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"])
-        out = F.when(whole, empty).otherwise(acc["out"])
-        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), full.alias("full"), F.when(acc["odd"] & keep(part), F.concat(out, one)).otherwise(out).alias("out"))
-
-    def done(acc):
-        return F.when(F.size(acc["full"]) > 0, F.concat(F.flatten(acc["full"]), acc["out"])).otherwise(acc["out"])
-
-    return let(parts, lambda p: F.when(F.size(p) > 1, F.aggregate(p, zero, step, done)).otherwise(empty))
+def _matches(text, pattern: str, keep) -> F.Column:
+    """(start, end, token) of the matches that keep(token) holds for; texts without a match are only looked through."""
+    return _spans.found(text, pattern, keep, lambda start, end, token, *_: F.struct(start.alias("start"), end.alias("end"), token.alias("token")), "struct<start:int,end:int,token:string>")
 
 
 def _keeps(kind: str):
@@ -202,10 +178,9 @@ def thresholds(counts: dict[tuple[int, int, bool], int], rate: float = FALSE_DIS
 
 def _searched(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The keep columns, the base spans by kind, and the runs that the battery judges; their names begin with _."""
-    text = F.translate(F.coalesce("text", F.lit("")), _MARK, _OTHER)  # for the search alone: code points stay in their places
-    frame = docs.select(*keep, text.alias("_text"))
-    columns = {kind: _matches(_parts(F.col("_text"), p), _keeps(kind)) for kind, p in _PATTERNS.items()}
-    columns["runs"] = _matches(_parts(F.col("_text"), RUN), lambda x: F.lit(True))
+    frame = docs.select(*keep, _spans.searchable(F.col("text")).alias("_text"))  # for the search alone: code points stay in their places
+    columns = {kind: _matches(F.col("_text"), p, _keeps(kind)) for kind, p in _PATTERNS.items()}
+    columns["runs"] = _matches(F.col("_text"), RUN, lambda x: F.lit(True))
     frame = frame.select(*keep, *[v.alias(f"_{k}") for k, v in columns.items()])
     slim = [F.transform(f"_{k}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(f"_{k}") for k in _PATTERNS]
     judged = F.transform(
@@ -263,7 +238,7 @@ def _masked(text, spans, mask: str) -> F.Column:
 
     def step(acc, x):
         fresh = x["start"] >= acc["at"]
-        whole = F.size(acc["out"]) >= CHUNK
+        whole = F.size(acc["out"]) >= _spans.CHUNK
         full = F.when(whole, F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"])
         out = F.when(whole, F.array().cast("array<string>")).otherwise(acc["out"])
         piece = F.array(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))
