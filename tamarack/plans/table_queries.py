@@ -455,6 +455,24 @@ def tfidf_similarity(spark, sf_dir):
     return similarity.scores(d, "doc_id", "c", _item_query(spark, sf_dir).normalized).select("doc_id", F.round("score", 6).alias("score"))
 
 
+_JOB = queries.parse(profiles.JOB)
+_BLEND = "CASE WHEN alike > 0 THEN " + clamped("0.65::DOUBLE * lexical + 0.35::DOUBLE * alike") + " ELSE lexical END"
+_BLENDED = {"jd_relevance": "blend", "must_have_skill": "must", "proof_alignment": "alignment", "retrieval_evaluation_depth": "depth_score", "production_readiness": "production", "hireability": "hire"}
+
+
+@query(f"""{psql.PROOF}, {psql.scored(_JOB)}, d AS MATERIALIZED (SELECT doc_id, lt AS c FROM s4), i AS MATERIALIZED (SELECT '{_JOB.normalized}' AS c),
+{_sql_cosine('by_word', _DOC_GRAMS[0], _ITEM_GRAMS[0])}, {_sql_cosine('by_char', _DOC_GRAMS[1], _ITEM_GRAMS[1])},
+m AS (SELECT s4.*, {clamped("0.55::DOUBLE * coalesce(by_word.score, 0.0::DOUBLE) + 0.45::DOUBLE * coalesce(by_char.score, 0.0::DOUBLE)")} AS alike FROM s4 LEFT JOIN by_word USING (doc_id) LEFT JOIN by_char USING (doc_id)),
+b AS (SELECT *, {_BLEND} AS blend FROM m)
+SELECT 'P' || doc_id AS candidate_id, {rounded("lexical")} AS lexical, {rounded("alike")} AS alike, {rounded("blend")} AS jd_relevance_score,
+  {rounded(clamped(" + ".join(f"{w!r}::DOUBLE * {_BLENDED[k]}" for k, w in lx.SCORE_WEIGHTS.items()) + " - cost"), 6)} AS final_score FROM b""")
+def semantic_blend(spark, sf_dir):
+    """The base score with semantic matching on: relevance blends token overlap with the cosines over the profile's whole bounded text."""
+    on = {"enabled": True, "max_candidate_chars": 2 * features.MAX_TEXT}  # a profile's text is never longer
+    df = scoring.weigh(scoring.components(evidence.proof(_fingerprints(spark, sf_dir)), _JOB, penalties={}, semantic=on), {})
+    return df.select("candidate_id", F.round("parts.lexical", 4).alias("lexical"), F.round("parts.alike", 4).alias("alike"), "score.jd_relevance_score", "score.final_score")
+
+
 @query(f"""
 WITH q AS ({ITEM_CLEAN}), d AS (SELECT doc_id, list_distinct({sql_words(sql_squeeze("coalesce(text, '')"))}) AS held FROM documents),
 s AS (SELECT doc_id, len(list_intersect(wanted, held)) / len(wanted) AS score FROM d, q),
