@@ -308,3 +308,10 @@ def test_calibration_by_hand(spark):
     assert c.calibration.negative_constraint_penalty == 0.06
     hire = 0.25 * 0.8 + 0.15 * (1 - 30 / 365) + 0.20 + 0.15 * 0.9 + 0.10 * 0.9 + 0.15 * (1 - 30 / 180)
     assert c.calibration.hireability.hireability_score == round(hire, 4)
+
+
+def test_rows_outside_the_calibration_pool_keep_their_scores(fingerprints):
+    s = ranking.Settings(firewall=rules.Firewall(), calibration={}, calibration_pool=2, risk_pool=8, top_k=8)
+    rows = ranking.rank_profiles(fingerprints, JOB, s).select("candidate_id", "calibration", "score").collect()
+    plain = [r for r in rows if r.calibration is None]
+    assert len(plain) >= 3 and all(r.score.calibrated_final_score == r.score.risk_adjusted_score for r in plain)
