@@ -151,10 +151,11 @@ def _vectors(statements: DataFrame, idf: DataFrame, rare: float, keys: list[str]
     )
 
 
-def cues(forms: DataFrame, threshold: float = THRESHOLD) -> list[str]:
+def cues(forms: DataFrame, threshold: float = THRESHOLD, idf: dict[str, float] | None = None) -> list[str]:
     """Words of which every statement within threshold of a template has some.
 
-    A cosine is at most the norm of the template's part that the statement shares, over the template's.
+    A cosine is at most the norm of the template's part that the statement shares, over the template's. So words may go
+    that have less than the threshold of it together; the most common ones go first, as they would let the most statements through.
     """
     held: dict[int, list[tuple[float, str]]] = {}
     for r in forms.select("form", "word", (F.col("t_weight") / F.col("t_norm")).alias("w")).collect():  # as many as the templates have words
@@ -162,7 +163,7 @@ def cues(forms: DataFrame, threshold: float = THRESHOLD) -> list[str]:
     heavy, least = set(), max(0.0, threshold - 1e-6) ** 2 - 1e-9  # scores are rounded
     for terms in held.values():
         light = 0.0
-        for share, word in sorted(terms):
+        for share, word in sorted(terms, key=lambda t: ((idf or {}).get(t[1], 0.0), t)):
             light += share
             if light >= least:
                 heavy.add(word)
@@ -182,7 +183,7 @@ def scan(docs: DataFrame, *, threshold: float = THRESHOLD, templates: dict[str,
     forms = forms.select("license", F.col("norm").alias("t_norm"), F.explode("terms").alias("t")).select("license", "t_norm", "t.word", F.col("t.weight").alias("t_weight"), F.xxhash64("license", "t_norm").alias("form"))
     forms = cut(forms, "forms")
 
-    heavy = _literal(cues(forms, threshold))
+    heavy = _literal(cues(forms, threshold, {r["word"]: r["idf"] for r in idf.collect()}))  # as many as the templates have words
 
     def cued(kind: int, text) -> F.Column:
         held = F.filter(F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(0)), lambda s: F.arrays_overlap(_words(s), heavy))
